@@ -89,7 +89,7 @@ def counted(df, *columns):
 @register("project_keep_list", f"""
 WITH {DIRTY} SELECT coalesce(binding_type, '-') AS binding_type, coalesce(priority_level, '-') AS priority_level,
   coalesce(label_type, '-') AS label_type, count(*) AS n_rows, round(sum(unit_price), 3) AS price_sum,
-  round(sum(coalesce(tva, 0)), 4) AS tva_sum, 9 AS n_columns
+  round(sum(coalesce(tva, 0)), 4) AS tva_sum, 10 AS n_columns
 FROM dirty GROUP BY 1, 2, 3""")
 def project_keep_list(spark, sf_dir):
     kept = K.project_keep_list(dirty(spark, sf_dir))
@@ -248,9 +248,10 @@ def parse_locale_number(spark, sf_dir):
     )
 
 
+# The added 1e-9 keeps exact halves, where the engines round differently, off the rounding point.
 @register("price_ht", f"""
 WITH {SALES}, r AS (SELECT *, CASE WHEN line_no = 7 THEN -0.1 WHEN tva_percent > 1 THEN tva_percent / 100 ELSE tva_percent END AS rate FROM sales)
-SELECT order_id, line_no, part_key, round(rate, 6) AS rate, round(unit_price / (1 + greatest(rate, 0)), 6) AS unit_price_ht FROM r""")
+SELECT order_id, line_no, part_key, round(rate, 6) AS rate, round(unit_price / (1 + greatest(rate, 0)) + 1e-9, 6) AS unit_price_ht FROM r""")
 def price_ht(spark, sf_dir):
     from priceloom.operators.clients import price_ht as op
 
@@ -259,7 +260,7 @@ def price_ht(spark, sf_dir):
         "tva", F.when(F.col("line_no") == 7, "-0,1").otherwise(F.concat(percent, F.lit("%")))
     )
     return op(rows).select(
-        "order_id", "line_no", "part_key", F.round("tva", 6).alias("rate"), F.round("unit_price_ht", 6).alias("unit_price_ht")
+        "order_id", "line_no", "part_key", F.round("tva", 6).alias("rate"), F.round(F.col("unit_price_ht") + 1e-9, 6).alias("unit_price_ht")
     )
 
 
