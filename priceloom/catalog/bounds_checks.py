@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from priceloom.catalog import register
 from priceloom.catalog.client_checks import rounded
-from priceloom.catalog.mart import SALES, sales, table
+from priceloom.catalog.mart import OFF_HALF, SALES, r6, sales, table
 from priceloom.functions import values as V
 from priceloom.operators import bounds as B
 from priceloom.operators import quality as Q
@@ -51,14 +51,14 @@ bounds AS (
 
 
 @register("price_bounds_iqr", f"""
-WITH {BOUNDS} SELECT family, round(bmin, 6) AS "min", round(bmax, 6) AS "max", round(bdefault, 6) AS "default",
-  CAST(uses_default AS BIGINT) AS uses_default, n_samples, n_clean, outliers_removed, round(outlier_pct, 6) AS outlier_pct,
-  round(min_clean, 6) AS min_clean, round(max_clean, 6) AS max_clean, round(mean, 6) AS mean, round(p1, 6) AS p1, round(p99, 6) AS p99
+WITH {BOUNDS} SELECT family, {r6('bmin')} AS "min", {r6('bmax')} AS "max", {r6('bdefault')} AS "default",
+  CAST(uses_default AS BIGINT) AS uses_default, n_samples, n_clean, outliers_removed, {r6('outlier_pct')} AS outlier_pct,
+  {r6('min_clean')} AS min_clean, {r6('max_clean')} AS max_clean, {r6('mean')} AS mean, {r6('p1')} AS p1, {r6('p99')} AS p99
 FROM bounds""")
 def price_bounds_iqr(spark, sf_dir):
     found = B.price_bounds_iqr(family_rows(spark, sf_dir))
     stats = ["n_samples", "n_clean", "outliers_removed", "outlier_pct", "min_clean", "max_clean", "mean", "p1", "p99"]
-    return rounded(found.select("family", "min", "max", "default", "uses_default", *[f"stats.{c}" for c in stats]))
+    return rounded(found.select("family", "min", "max", "default", "uses_default", *[f"stats.{c}" for c in stats]), shift=OFF_HALF)
 
 
 # Pairs of family and country; orders below 400 form pairs with few rows.
@@ -75,8 +75,8 @@ s AS (SELECT s.family, CASE WHEN s.n_samples < 10 THEN d.n_samples ELSE s.n_samp
   CASE WHEN s.n_samples < 10 THEN d.n_clean ELSE s.n_clean END AS n_clean, CASE WHEN s.n_samples < 10 THEN d.p1 ELSE s.p1 END AS p1,
   CASE WHEN s.n_samples < 10 THEN d.p99 ELSE s.p99 END AS p99, CASE WHEN s.n_samples < 10 THEN d.median ELSE s.median END AS median,
   CASE WHEN s.n_samples < 10 THEN d.mean ELSE s.mean END AS mean FROM stats s, d)
-SELECT family AS "group", round(greatest(0.5, 0.8 * p1), 6) AS "min", round(least(5000, 1.5 * p99), 6) AS "max",
-       round(median, 6) AS "default", n_samples, n_clean, round(mean, 6) AS mean FROM s""")
+SELECT family AS "group", {r6('greatest(0.5, 0.8 * p1)')} AS "min", {r6('least(5000, 1.5 * p99)')} AS "max",
+       {r6('median')} AS "default", n_samples, n_clean, {r6('mean')} AS mean FROM s""")
 def price_bounds_group(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True, nation=True)
     rare = F.concat(F.lit("RARE__"), F.col("order_id") % 50)
@@ -84,19 +84,19 @@ def price_bounds_group(spark, sf_dir):
         "pair", F.when(F.col("order_id") < 400, rare).otherwise(V.pair_key(F.col("binding_type"), F.col("country")))
     )
     found = B.price_bounds_group(rows, "pair")
-    return rounded(found.select("group", "min", "max", "default", "n_samples", "n_clean", "mean"))
+    return rounded(found.select("group", "min", "max", "default", "n_samples", "n_clean", "mean"), shift=OFF_HALF)
 
 
 @register("join_bounds_with_default", f"""
 WITH {BOUNDS}, o AS (SELECT row_key, CASE WHEN line_no = 3 THEN 'UNHEARD' ELSE binding_type END AS family FROM sales)
-SELECT row_key, o.family AS binding_type, round(coalesce(b.bmin, e.bmin, 0.5), 6) AS bound_min,
-       round(coalesce(b.bmax, e.bmax, 5000), 6) AS bound_max, round(coalesce(b.bdefault, e.bdefault, 100), 6) AS bound_default
+SELECT row_key, o.family AS binding_type, {r6('coalesce(b.bmin, e.bmin, 0.5)')} AS bound_min,
+       {r6('coalesce(b.bmax, e.bmax, 5000)')} AS bound_max, {r6('coalesce(b.bdefault, e.bdefault, 100)')} AS bound_default
 FROM o LEFT JOIN bounds b ON b.family = o.family AND b.family <> 'DEFAULT' CROSS JOIN (SELECT * FROM bounds WHERE family = 'DEFAULT') e""")
 def join_bounds_with_default(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True).select(
         "row_key", F.when(F.col("line_no") == 3, "UNHEARD").otherwise(F.col("binding_type")).alias("binding_type")
     )
-    return rounded(B.join_bounds_with_default(rows, B.price_bounds_iqr(family_rows(spark, sf_dir))))
+    return rounded(B.join_bounds_with_default(rows, B.price_bounds_iqr(family_rows(spark, sf_dir))), shift=OFF_HALF)
 
 
 @register("price_distribution_report", f"""
@@ -137,8 +137,8 @@ def clip_target(spark, sf_dir):
 
 
 @register("clip_prediction", f"""
-WITH {BOUNDS} SELECT s.row_key, round(greatest(least(unit_price * 3, 1.2 * bmax), 0.5), 6) AS family_price,
-  round(greatest(least(unit_price / 4, 1.2 * bmax), 0.8 * bmin), 6) AS pair_price
+WITH {BOUNDS} SELECT s.row_key, {r6('greatest(least(unit_price * 3, 1.2 * bmax), 0.5)')} AS family_price,
+  {r6('greatest(least(unit_price / 4, 1.2 * bmax), 0.8 * bmin)')} AS pair_price
 FROM sales s JOIN bounds b ON b.family = s.binding_type""")
 def clip_prediction(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True).select("row_key", "binding_type", "unit_price")
@@ -147,7 +147,7 @@ def clip_prediction(spark, sf_dir):
     return rounded(joined.select(
         "row_key", B.clip_prediction(F.col("unit_price") * 3, None, hi).alias("family_price"),
         B.clip_prediction(F.col("unit_price") / 4, lo, hi).alias("pair_price"),
-    ))
+    ), shift=OFF_HALF)
 
 
 NUMBERS = ["quantity", "size", "retail", "discount", "flat"]

@@ -10,13 +10,13 @@ from priceloom.functions.scale import settle
 from priceloom.operators import clients as C
 
 
-def rounded(df, digits=6, keep=()):
+def rounded(df, digits=6, shift=0.0):
     """Doubles rounded, dates as text: what both engines can be compared on."""
     out = []
     for name, kind in df.dtypes:
         col = F.col(name)
-        if kind == "double" and name not in keep:
-            col = F.round(col, digits)
+        if kind == "double":
+            col = F.round(col + shift, digits)
         elif kind == "date":
             col = col.cast("string")
         elif kind in ("int", "boolean"):

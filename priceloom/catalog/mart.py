@@ -185,3 +185,13 @@ part_inserts AS (
 part_covers_cases AS (SELECT CAST(p_partkey AS VARCHAR) AS part_id, CAST(p_size > 40 AS INT) AS active, p_type AS spine_type FROM part),
 kits AS (SELECT o_orderkey AS order_id, CAST(o_orderkey % 3 = 0 AS INT) AS active FROM orders WHERE o_orderstatus = 'P')
 """
+
+
+# Quotients and interpolated quantiles of short decimals often end exactly on a
+# half, which the engines round differently. Both sides add this before rounding.
+OFF_HALF = 1.23456789e-7
+
+
+def r6(expression: str) -> str:
+    """SQL for a value rounded to six digits away from exact halves."""
+    return f"round(({expression}) + {OFF_HALF!r}, 6)"
