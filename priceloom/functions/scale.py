@@ -91,15 +91,18 @@ def join_lookup(
     keys: list[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    settled: bool = False,
+    settled_rows: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``lookup``, which has one row per key.
 
-    ``lookup`` is settled first unless it already reads a written table: its
-    size is then known, and neither the size check nor the join computes it a
-    second time.
+    ``lookup`` is settled and counted first, so that neither the size check nor
+    the join computes it twice. A caller that reads a written table passes its
+    row count instead.
     """
-    table = lookup if settled else settle(lookup, "lookup")
-    if table.count() <= broadcast_rows:
+    table, rows = lookup, settled_rows
+    if rows is None:
+        table = settle(lookup, "lookup")
+        rows = table.count()
+    if rows <= broadcast_rows:
         return fact.join(F.broadcast(table), keys, how)
     return join_salted(fact, table, keys, how)

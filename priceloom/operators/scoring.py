@@ -66,12 +66,13 @@ def join_model_tiers(
     salted joins; a tier without a model gets null.
     """
     table = settle(models.select("model_name", *_MODEL_FIELDS), "models")
+    rows = table.count()
     names = tiers or tier_names(F.col(family), F.col(client))
     for tier, name in names.items():
         side = table.select(
             F.col("model_name").alias("_name"), F.struct("model_name", *_MODEL_FIELDS).alias(f"{tier}_model")
         )
-        quotes = join_lookup(quotes.withColumn("_name", name), side, ["_name"], settled=True)
+        quotes = join_lookup(quotes.withColumn("_name", name), side, ["_name"], settled_rows=rows)
         quotes = quotes.withColumn(f"{tier}_name", F.col("_name")).drop("_name")
     return quotes
 
