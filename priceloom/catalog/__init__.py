@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["mart_checks", "cleaning_checks", "client_checks", "bounds_checks", "quote_checks", "model_checks"]
+MODULES = ["mart_checks", "cleaning_checks", "client_checks", "bounds_checks", "quote_checks", "model_checks", "stream_checks"]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 

@@ -93,10 +93,10 @@ def feature_eligibility(
 
 
 def vif_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Variance inflation factors: the diagonal of the inverse correlation matrix.
+    """Variance inflation factors from the correlation matrix.
 
     The matrix comes from one aggregate; only its p x p numbers reach the task
-    that inverts it. Constant columns and factors of 1000 and more are left out.
+    that solves it. Constant columns and factors of 1000 and more are left out.
     """
     import numpy as np
     import pandas as pd
@@ -114,17 +114,22 @@ def vif_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 p = len(names)
-                matrix = np.zeros((p, p))
-                for (i, j), r in zip(pairs, row.corr):
-                    matrix[i, j] = matrix[j, i] = r
+                matrix = np.eye(p)
+                for (i, j), value in zip(pairs, row.corr):
+                    if i != j:
+                        matrix[i, j] = matrix[j, i] = value
                 used = [k for k in range(p) if row.std[k] is not None and row.std[k] > 1e-6]
                 if len(used) < 2 or row.n < len(used) + 1:
                     yield pd.DataFrame({"column": pd.Series(dtype=str), "vif": pd.Series(dtype=float)})
                     continue
-                part = matrix[np.ix_(used, used)]
-                np.fill_diagonal(part, 1.0)
-                vif = np.diag(np.linalg.pinv(part))
-                found = [(names[k], float(v)) for k, v in zip(used, vif) if np.isfinite(v) and v < 1000]
+                found = []
+                for k in used:
+                    others = [m for m in used if m != k]
+                    r = matrix[k, others]
+                    explained = r @ np.linalg.pinv(matrix[np.ix_(others, others)], hermitian=True) @ r
+                    vif = 1.0 / (1.0 - explained) if explained < 1 else np.inf
+                    if np.isfinite(vif) and vif < 1000:
+                        found.append((names[k], float(vif)))
                 yield pd.DataFrame(found, columns=["column", "vif"])
 
     return moments.mapInPandas(invert, "column string, vif double")
