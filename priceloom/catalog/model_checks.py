@@ -215,7 +215,7 @@ def global_model_race(spark, sf_dir):
 
 @register("group_linear_models")
 def group_linear_models(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
+    rows = G.training_columns(training_rows(spark, sf_dir), "binding_type", "row_key", NUMBERS, CATEGORIES)
     _, limits = G.family_limits(rows, "binding_type")
     _, tried = L.group_linear_models(rows, "binding_type", "row_key", limits, NUMBERS, CATEGORIES)
     return tried.select("binding_type", "model_name", "alpha", "l1_ratio", F.round("cv_r2", 6).alias("cv_r2"), F.round("cv_std", 6).alias("cv_std"))
@@ -223,7 +223,7 @@ def group_linear_models(spark, sf_dir):
 
 @register("group_nonlinear_models")
 def group_nonlinear_models(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
+    rows = G.training_columns(training_rows(spark, sf_dir), "binding_type", "row_key", NUMBERS, CATEGORIES)
     _, limits = G.family_limits(rows, "binding_type")
     names = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(64).collect()]
     results, _ = W.group_nonlinear_models(rows, "binding_type", "row_key", limits, names, NUMBERS, CATEGORIES, settings=TREES)
@@ -250,7 +250,7 @@ def train_pairs(spark, sf_dir):
 
 @register("coefficients_table")
 def coefficients_table(spark, sf_dir):
-    rows = training_rows(spark, sf_dir)
+    rows = G.training_columns(training_rows(spark, sf_dir), "binding_type", "row_key", NUMBERS, CATEGORIES)
     _, limits = G.family_limits(rows, "binding_type")
     models, _ = L.group_linear_models(rows, "binding_type", "row_key", limits, NUMBERS, CATEGORIES)
     return L.coefficients_table(models, "binding_type", 50)

@@ -32,7 +32,7 @@ def stream_file_arrivals(spark, sf_dir):
     # one extract file per range of orders, so files stay of one size as the table grows
     orders.select(line.alias("value")).write.option("maxRecordsPerFile", 100_000).text(folder)
     seen = finished(A.stream_file_arrivals(spark, folder, "*.txt", files_per_batch=4), spark, "announced")
-    rows = seen.select(F.explode(F.split(F.rtrim(F.decode("content", "UTF-8")), "\n")).alias("line"))
+    rows = seen.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
     fields = F.split("line", ",")
     return rows.groupBy(F.get(fields, F.lit(1)).alias("status")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.get(fields, F.lit(2)).cast("double")), 2).alias("total")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from priceloom.functions.scale import join_lookup
+
 # Slots per unit of ln(value); slots of a positive value start at SLOT_BASE.
 SLOTS_PER_E = 2048
 SLOT_BASE = 2_000_000
@@ -57,15 +59,10 @@ def with_total(counts: DataFrame, by: str, label: str) -> DataFrame:
     return counts.select(by, "value", "n").unionByName(total)
 
 
-def nth_values(counts: DataFrame, by: Sequence[str], ranks: Column) -> DataFrame:
-    """Values at given zero-based ranks.
-
-    ``ranks`` is an ``array<struct<i:int, rank:bigint>>`` expression over the
-    column ``total`` (rows of the group). Returns ``by..., total, i, value``.
-    """
-    slotted = counts.withColumn("slot", slot_of(F.col("value")))
+def _rank_slots(slotted: DataFrame, by: Sequence[str], ranks: Column) -> DataFrame:
+    """The slots that hold a wanted rank, with the rows before them."""
     in_order = Window.partitionBy(*by).orderBy("slot")
-    wanted = (
+    return (
         slotted.groupBy(*by, "slot")
         .agg(F.sum("n").alias("in_slot"))
         .withColumn("upto", F.sum("in_slot").over(in_order))
@@ -78,10 +75,13 @@ def nth_values(counts: DataFrame, by: Sequence[str], ranks: Column) -> DataFrame
         .where(F.size("ranks") > 0)
         .select(*by, "slot", "base", "total", "ranks")
     )
+
+
+def _rank_values(opened: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Values of the wanted ranks from the rows of the opened slots."""
     within = Window.partitionBy(*by, "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        slotted.join(wanted, [*by, "slot"])
-        .withColumn("upto", F.col("base") + F.sum("n").over(within))
+        opened.withColumn("upto", F.col("base") + F.sum("n").over(within))
         .withColumn(
             "hit",
             F.explode(
@@ -95,6 +95,30 @@ def nth_values(counts: DataFrame, by: Sequence[str], ranks: Column) -> DataFrame
     )
 
 
+def nth_values(counts: DataFrame, by: Sequence[str], ranks: Column) -> DataFrame:
+    """Values at given zero-based ranks.
+
+    ``ranks`` is an ``array<struct<i:int, rank:bigint>>`` expression over the
+    column ``total`` (rows of the group). Returns ``by..., total, i, value``.
+    """
+    slotted = counts.withColumn("slot", slot_of(F.col("value")))
+    return _rank_values(slotted.join(_rank_slots(slotted, by, ranks), [*by, "slot"]), by)
+
+
+def nth_values_unique(rows: DataFrame, by: Sequence[str], ranks: Column) -> DataFrame:
+    """``nth_values`` for values that hardly repeat, such as hashes, in few groups.
+
+    Counting every value would shuffle all rows; here the rows are only counted
+    per slot, and read again for the few slots that matter.
+    """
+    slotted = rows.withColumns({"n": F.lit(1).cast("bigint"), "slot": slot_of(F.col("value"))})
+    opened = join_lookup(slotted, _rank_slots(slotted, by, ranks), [*by, "slot"], "inner")
+    merged = opened.groupBy(*by, "slot", "value").agg(
+        F.sum("n").alias("n"), *[F.any_value(c).alias(c) for c in ("base", "total", "ranks")]
+    )
+    return _rank_values(merged, by)
+
+
 def quantiles(counts: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group: ``by..., total, <name of each prob>``."""
     position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}

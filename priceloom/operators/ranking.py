@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from priceloom.functions import values as V
-from priceloom.functions.distribution import nth_values, overall, quantiles_of, value_counts
+from priceloom.functions.distribution import nth_values_unique, overall, quantiles_of
 from priceloom.functions.scale import join_lookup, settle
 
 # Metric and direction each level is ranked by.
@@ -59,15 +59,14 @@ def stratified_split(
     """Add ``part``: exactly the rounded share of every stratum is ``test``.
 
     The rows with the smallest key hashes form the test part. The threshold hash
-    of each stratum is selected from hash counts, so no stratum is ever sorted
-    in one task. Keys must be unique.
+    of each stratum is found by counting, so no stratum is ever sorted in one
+    task. Keys must be unique.
     """
     hashed = df.withColumn("_h", V.stable_hash(F.col(key).cast("string")).cast("double"))
     last = F.round(F.col("total") * F.lit(test_share)).cast("bigint") - 1
     wanted = F.array(F.struct(F.lit(0).alias("i"), last.alias("rank")))
-    limits = nth_values(value_counts(hashed, [stratum], "_h"), [stratum], wanted).select(
-        stratum, F.col("value").alias("_limit")
-    )
+    hashes = hashed.select(stratum, F.col("_h").alias("value"))
+    limits = nth_values_unique(hashes, [stratum], wanted).select(stratum, F.col("value").alias("_limit"))
     return (
         join_lookup(hashed, limits, [stratum])
         .withColumn("part", F.when(F.col("_h") <= F.col("_limit"), "test").otherwise("train"))

@@ -13,11 +13,14 @@ from priceloom.sources.sinks import sink_table
 
 
 def extract(relations: Mapping[str, DataFrame], columns: Mapping[str, Mapping[str, str]] = CHILD_COLUMNS) -> DataFrame:
-    """One extract: filters and anti join, star, children."""
-    parts = consolidate.join_not_exists_kits(
-        consolidate.filter_not_split(relations["production_parts"]), relations["kits"]
-    )
-    orders = consolidate.project_renamed(relations["orders"], consolidate.ORDER_COLUMNS, ["order_id", "client_id"])
+    """One extract: filters, star, children.
+
+    Orders with an active kit are dropped before the join with the parts: the
+    inner join then drops their parts, and the parts are shuffled by order once.
+    """
+    parts = consolidate.filter_not_split(relations["production_parts"])
+    orders = consolidate.join_not_exists_kits(relations["orders"], relations["kits"])
+    orders = consolidate.project_renamed(orders, consolidate.ORDER_COLUMNS, ["order_id", "client_id"])
     clients_ = consolidate.project_renamed(relations["clients"], consolidate.CLIENT_COLUMNS, ["client_id"])
     # the first of same-named columns wins, and parts come first
     orders = orders.drop(*[c for c in orders.columns if c in parts.columns and c != "order_id"])
