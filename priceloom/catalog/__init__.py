@@ -13,6 +13,26 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
+def _fixed_digits(sql: str) -> str:
+    """Rewrite every ``round(x, n)`` to ``floor(x * 10^n + 0.5) / 10^n``, see ``mart.fixed``."""
+    out, at = "", 0
+    for start in iter(lambda: sql.find("round(", at), -1):
+        depth, end, comma = 1, start + 6, -1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            comma = end if sql[end] == "," and depth == 1 else comma
+            end += 1
+        inner, digits = sql[start + 6:comma], sql[comma + 1:end - 1].strip()
+        out += sql[at:start]
+        if comma > 0 and digits.isdigit():
+            inner = _fixed_digits(inner)
+            out += f"(floor(({inner}) * 1e{digits} + 0.5) / 1e{digits})"
+            at = end
+        else:
+            out, at = out + "round(", start + 6
+    return out + sql[at:]
+
+
 def register(name: str, check: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its operator name; ``check`` is SQL over the same tables."""
 
@@ -21,7 +41,7 @@ def register(name: str, check: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if check is not None:
-            CHECKS[name] = check.strip()
+            CHECKS[name] = _fixed_digits(check.strip())
         return fn
 
     return wrap

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from priceloom.catalog import register
 from priceloom.catalog.client_checks import rounded
-from priceloom.catalog.mart import OFF_HALF, SALES, r6, sales, table
+from priceloom.catalog.mart import OFF_HALF, SALES, fixed, r6, sales, table
 from priceloom.functions import values as V
 from priceloom.operators import bounds as B
 from priceloom.operators import quality as Q
@@ -111,7 +111,7 @@ SELECT family, count(*) AS n_samples, round(min(v), 6) AS min, round(max(v), 6)
 FROM j GROUP BY 1""")
 def price_distribution_report(spark, sf_dir):
     report = B.price_distribution_report(family_rows(spark, sf_dir)).drop("q1", "q3", "lower_bound", "upper_bound")
-    report = report.na.fill(-1.0, ["min_outlier", "max_outlier"]).withColumn("std", F.coalesce(F.round("std", 4), F.lit(0.0)))
+    report = report.na.fill(-1.0, ["min_outlier", "max_outlier"]).withColumn("std", F.coalesce(fixed("std", 4), F.lit(0.0)))
     return rounded(report)
 
 
@@ -128,7 +128,7 @@ def clip_target(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True).select("row_key", "binding_type", "unit_price")
     parts = [
         B.clip_target(rows, "binding_type", rule=rule).select(
-            F.lit(rule).alias("rule"), "row_key", F.round("price_clipped", 7).alias("price_clipped"),
+            F.lit(rule).alias("rule"), "row_key", fixed("price_clipped", 7).alias("price_clipped"),
             F.col("was_clipped").cast("bigint").alias("was_clipped"),
         )
         for rule in B.CLIP_RULES
@@ -208,7 +208,7 @@ def kfold_assign(spark, sf_dir):
 @register("seeded_sample", f"WITH {SALES} SELECT row_key, siren, round(unit_price, 8) AS unit_price FROM sales ORDER BY md5(row_key) LIMIT 100")
 def seeded_sample(spark, sf_dir):
     sample = R.seeded_sample(sales(spark, sf_dir), F.col("row_key"), 100)
-    return sample.select("row_key", "siren", F.round("unit_price", 8).alias("unit_price"))
+    return sample.select("row_key", "siren", fixed("unit_price", 8).alias("unit_price"))
 
 
 # Registry rows: one model per priority and status, the order key as its version.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from priceloom import schema as S
 from priceloom.catalog import register
-from priceloom.catalog.mart import SALES, sales, table
+from priceloom.catalog.mart import SALES, fixed, sales, table
 from priceloom.functions import values as V
 from priceloom.operators import cleaning as K
 from priceloom.operators import quality as Q
@@ -95,8 +95,8 @@ def project_keep_list(spark, sf_dir):
     kept = K.project_keep_list(dirty(spark, sf_dir))
     text = lambda c: F.coalesce(c, F.lit("-")).alias(c)
     return kept.groupBy(text("binding_type"), text("priority_level"), text("label_type")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("unit_price"), 3).alias("price_sum"),
-        F.round(F.sum(F.coalesce("tva", F.lit(0))), 4).alias("tva_sum"), F.lit(len(kept.columns)).alias("n_columns"),
+        F.count(F.lit(1)).alias("n_rows"), fixed(F.sum("unit_price"), 3).alias("price_sum"),
+        fixed(F.sum(F.coalesce("tva", F.lit(0))), 4).alias("tva_sum"), F.lit(len(kept.columns)).alias("n_columns"),
     )
 
 
@@ -106,7 +106,7 @@ FROM sales WHERE unit_price <> 0 AND discount <> 0 GROUP BY 1""")
 def filter_nonzero_price(spark, sf_dir):
     rows = sales(spark, sf_dir).withColumn("unit_price", F.when(F.col("discount") == 0, 0.0).otherwise(F.col("unit_price")))
     return K.filter_nonzero_price(rows).groupBy("status").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("unit_price"), 3).alias("price_sum")
+        F.count(F.lit(1)).alias("n_rows"), fixed(F.sum("unit_price"), 3).alias("price_sum")
     )
 
 
@@ -120,7 +120,7 @@ def filter_training_target(spark, sf_dir):
         F.when(line == 1, "abc").when(line == 2, "0.25").otherwise(price.cast("string")).alias("unit_price"),
     )
     return K.filter_training_target(rows).groupBy("returnflag").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.min("unit_price"), 8).alias("lowest")
+        F.count(F.lit(1)).alias("n_rows"), fixed(F.min("unit_price"), 8).alias("lowest")
     )
 
 
@@ -142,7 +142,7 @@ SELECT siren, count(*) AS n_rows, round(sum(quantity), 2) AS quantity_sum FROM s
 def filter_min_group_size(spark, sf_dir):
     kept = K.filter_min_group_size(sales(spark, sf_dir), "siren", 40)
     return kept.groupBy("siren").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("quantity"), 2).alias("quantity_sum")
+        F.count(F.lit(1)).alias("n_rows"), fixed(F.sum("quantity"), 2).alias("quantity_sum")
     )
 
 
@@ -188,7 +188,7 @@ FROM dirty GROUP BY 1, 2, 3""")
 def fill_typed(spark, sf_dir):
     filled = K.fill_typed(dirty(spark, sf_dir))
     return filled.groupBy("tab_size", "version", "cover_finish_type").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("tva"), 4).alias("tva_sum")
+        F.count(F.lit(1)).alias("n_rows"), fixed(F.sum("tva"), 4).alias("tva_sum")
     )
 
 
@@ -239,7 +239,7 @@ SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line_no,
        round(l_extendedprice, 2) AS price
 FROM lineitem""")
 def parse_locale_number(spark, sf_dir):
-    percent = F.replace(F.round(F.col("l_discount") * 100 + 0.5, 1).cast("string"), F.lit("."), F.lit(","))
+    percent = F.replace(fixed(F.col("l_discount") * 100 + 0.5, 1).cast("string"), F.lit("."), F.lit(","))
     text = F.when(F.col("l_suppkey") % 6 == 0, "abc").otherwise(F.concat(percent, F.lit("%")))
     price = F.replace(F.format_string("%.2f", "l_extendedprice"), F.lit("."), F.lit(","))
     return table(spark, sf_dir, "lineitem").select(
@@ -260,7 +260,7 @@ def price_ht(spark, sf_dir):
         "tva", F.when(F.col("line_no") == 7, "-0,1").otherwise(F.concat(percent, F.lit("%")))
     )
     return op(rows).select(
-        "order_id", "line_no", "part_key", F.round("tva", 6).alias("rate"), F.round(F.col("unit_price_ht") + 1e-9, 6).alias("unit_price_ht")
+        "order_id", "line_no", "part_key", fixed("tva", 6).alias("rate"), fixed(F.col("unit_price_ht") + 1e-9, 6).alias("unit_price_ht")
     )
 
 
@@ -325,8 +325,8 @@ SELECT p_partkey AS part_key, round(ln(1 + p_retailprice), 6) AS log_price, roun
 def log_transform(spark, sf_dir):
     price = F.col("p_retailprice")
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("part_key"), F.round(V.log_price(price), 6).alias("log_price"),
-        F.round(V.price_from_log(V.log_price(price)), 6).alias("back"), F.round(F.ln(price), 6).alias("ln_price"),
+        F.col("p_partkey").alias("part_key"), fixed(V.log_price(price), 6).alias("log_price"),
+        fixed(V.price_from_log(V.log_price(price)), 6).alias("back"), fixed(F.ln(price), 6).alias("ln_price"),
     )
 
 
@@ -416,7 +416,7 @@ def value_frequencies(spark, sf_dir):
     top = Q.value_frequencies(dirty(spark, sf_dir), [*TEXTS, "order_id"])
     return top.select(
         "column", "n_distinct", F.col("rank").cast("bigint").alias("rank"),
-        F.coalesce("value", F.lit("<null>")).alias("value"), "n", F.round("share", 6).alias("share"),
+        F.coalesce("value", F.lit("<null>")).alias("value"), "n", fixed("share", 6).alias("share"),
     )
 
 
@@ -434,7 +434,7 @@ WITH {DIRTY} {' UNION ALL '.join([
     _report_sql('tab_size', 'double', True), _report_sql('tva', 'double', True), _report_sql('version', 'bigint', True)])}""")
 def quality_report(spark, sf_dir):
     report = Q.quality_report(dirty(spark, sf_dir).select("part_key", "binding_type", "tab_size", "tva", "version"))
-    numbers = [F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")]
+    numbers = [fixed(c, 6).alias(c) for c in ("mean", "std", "min", "max")]
     return report.select("column", "type", "n_rows", "n_missing", *numbers)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from priceloom.catalog import register
-from priceloom.catalog.mart import PRICED, priced, sales, table
+from priceloom.catalog.mart import PRICED, fixed, priced, sales, table
 from priceloom.functions.scale import settle
 from priceloom.operators import clients as C
 
@@ -16,7 +16,7 @@ def rounded(df, digits=6, shift=0.0):
     for name, kind in df.dtypes:
         col = F.col(name)
         if kind == "double":
-            col = F.round(col + shift, digits)
+            col = fixed(col + shift, digits)
         elif kind == "date":
             col = col.cast("string")
         elif kind in ("int", "boolean"):
@@ -67,7 +67,7 @@ SELECT order_id, line_no, part_key, siren, round(coalesce(unit_price_ht / mean,
 FROM priced JOIN m USING (siren)""")
 def relative_price_index(spark, sf_dir):
     rows = C.relative_price_index(priced(spark, sf_dir))
-    return rows.select("order_id", "line_no", "part_key", "siren", F.round("relative_price_index", 6).alias("relative_price_index"))
+    return rows.select("order_id", "line_no", "part_key", "siren", fixed("relative_price_index", 6).alias("relative_price_index"))
 
 
 @register("price_volatility", f"""
@@ -75,7 +75,7 @@ WITH {PRICED}, m AS (SELECT siren, coalesce(stddev_samp(unit_price_ht), 0) AS s
 SELECT order_id, line_no, part_key, siren, round(s, 6) AS price_volatility FROM priced JOIN m USING (siren)""")
 def price_volatility(spark, sf_dir):
     rows = C.price_volatility(priced(spark, sf_dir))
-    return rows.select("order_id", "line_no", "part_key", "siren", F.round("price_volatility", 6).alias("price_volatility"))
+    return rows.select("order_id", "line_no", "part_key", "siren", fixed("price_volatility", 6).alias("price_volatility"))
 
 
 @register("client_aggregate", f"""

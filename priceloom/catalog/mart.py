@@ -15,12 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """Value to a fixed number of digits, by arithmetic both engines share bit for bit.
+
+    ``register`` rewrites ``round(x, n)`` of the SQL checks to the same form.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    scale = 10.0**digits
+    return F.floor(value * scale + 0.5) / scale
+
+
 def row_key() -> Column:
     """Unique text key of an order line."""
     return F.concat_ws(
         "-",
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-        F.date_format("l_shipdate", "yyyyMMdd"), F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+        F.unix_date(F.col("l_shipdate").cast("date")), F.floor(F.col("l_extendedprice") * 100 + 0.5),
     )
 
 
@@ -39,7 +49,7 @@ def sales(spark: SparkSession, sf_dir: str, client: bool = False, part: bool = F
         "quantity": F.col("l_quantity"),
         "unit_price": F.col("l_extendedprice") / F.col("l_quantity"),
         "tva": F.col("l_tax") + F.lit(0.0),
-        "tva_percent": F.round((F.col("l_tax") + F.lit(0.0)) * 100, 2),
+        "tva_percent": fixed((F.col("l_tax") + F.lit(0.0)) * 100, 2),
         "reception_date": F.col("o_orderdate").cast("date"),
         "priority_level": F.col("o_orderpriority"),
         "status": F.col("o_orderstatus"),
@@ -67,8 +77,8 @@ def sales(spark: SparkSession, sf_dir: str, client: bool = False, part: bool = F
 # The same rows for the check engine.
 SALES = """
 sales AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'),
-                   CAST(round(l_extendedprice * 100) AS BIGINT)) AS row_key,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)),
+                   CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS row_key,
          l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line_no, l_partkey AS part_key,
          l_suppkey AS supp_key, CAST(o_custkey AS VARCHAR) AS siren, l_quantity AS quantity,
          l_extendedprice / l_quantity AS unit_price, l_tax + 0.0::DOUBLE AS tva,

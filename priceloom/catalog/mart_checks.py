@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from priceloom import schema as S
 from priceloom.catalog import register
-from priceloom.catalog.mart import CHILDREN, RELATIONS, SALES, priced, relations, table
+from priceloom.catalog.mart import CHILDREN, RELATIONS, SALES, fixed, priced, relations, table
 
 from priceloom.functions.scale import fresh_path
 from priceloom.operators import consolidate as C
@@ -38,7 +38,7 @@ def scan_csv(spark, sf_dir):
 def scan_validated(spark, sf_dir):
     orders = R.scan_validated(spark, f"{sf_dir}/orders.parquet", max_file_mb=None)
     return orders.groupBy("o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total")
+        F.count(F.lit(1)).alias("n_orders"), fixed(F.sum("o_totalprice"), 2).alias("total")
     )
 
 
@@ -83,7 +83,7 @@ FROM sales GROUP BY 1""")
 def scan_client_features(spark, sf_dir):
     path = K.sink_table(client_features(priced(spark, sf_dir)), fresh_path(spark, "client-features"))
     return R.scan_client_features(spark, path).select(
-        "siren", "client_nb_orders", F.round("client_avg_quantity", 6).alias("client_avg_quantity")
+        "siren", "client_nb_orders", fixed("client_avg_quantity", 6).alias("client_avg_quantity")
     )
 
 
@@ -102,7 +102,7 @@ def sink_table(spark, sf_dir):
 @register("sink_report_json", "SELECT p_type AS family, count(*) AS n_rows, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1")
 def sink_report_json(spark, sf_dir):
     report = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("family")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("p_retailprice"), 6).alias("mean")
+        F.count(F.lit(1)).alias("n_rows"), fixed(F.avg("p_retailprice"), 6).alias("mean")
     )
     return spark.read.schema(report.schema).json(K.sink_report_json(report, fresh_path(spark, "report")))
 
@@ -132,9 +132,9 @@ def run_ledger(spark, sf_dir):
     ledger = K.run_ledger(_runs(spark, sf_dir))
     return ledger.select(
         "files_processed", "successful_runs", "failed_runs",
-        F.round("total_execution_time", 4).alias("total_execution_time"), "retries_used",
-        F.round("success_rate", 6).alias("success_rate"),
-        F.round("average_execution_time", 6).alias("average_execution_time"),
+        fixed("total_execution_time", 4).alias("total_execution_time"), "retries_used",
+        fixed("success_rate", 6).alias("success_rate"),
+        fixed("average_execution_time", 6).alias("average_execution_time"),
         F.array_join(F.col("recent_errors.run_id"), ",").alias("recent_errors"),
     )
 
@@ -210,7 +210,7 @@ def join_star_inner(spark, sf_dir):
     r = relations(spark, sf_dir)
     star = C.join_star_inner(r["production_parts"], r["orders"], r["clients"])
     return star.select(
-        "part_id", "order_id", "line_no", "split", F.round("unit_price", 8).alias("unit_price"),
+        "part_id", "order_id", "line_no", "split", fixed("unit_price", 8).alias("unit_price"),
         "client_id", "order_num", "name", "siren",
     )
 
@@ -292,7 +292,7 @@ def dedup_keep_first(spark, sf_dir):
     first = C.dedup_keep_first(merged, ["order_id", "part_id"], [F.col(c) for c in order])
     return first.select(
         "order_id", "part_id", "source_rank", F.col("l_partkey").alias("part_key"),
-        F.col("l_suppkey").alias("supp_key"), F.round("l_extendedprice", 2).alias("price"),
+        F.col("l_suppkey").alias("supp_key"), fixed("l_extendedprice", 2).alias("price"),
     )
 
 
@@ -342,7 +342,7 @@ FROM ranked WHERE rn = 1""")
 def consolidate(spark, sf_dir):
     mart = build_mart(relations(spark, sf_dir), columns=CHILDREN, precedence=["line_no", "unit_price", "insert_paper_type"])
     return mart.select(
-        "order_id", "part_id", "line_no", F.round("unit_price", 8).alias("unit_price"), "quantity", "siren",
+        "order_id", "part_id", "line_no", fixed("unit_price", 8).alias("unit_price"), "quantity", "siren",
         "coil_type", "tab_size", "insert_paper_type", "head_and_tail",
     )
 

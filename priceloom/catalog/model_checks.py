@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from priceloom.catalog import register
 from priceloom.catalog.bounds_checks import BOUNDS, family_rows
 from priceloom.catalog.client_checks import rounded
-from priceloom.catalog.mart import SALES, sales, table
+from priceloom.catalog.mart import SALES, fixed, sales, table
 from priceloom.catalog.quote_checks import MODELS, scored_quotes
 from priceloom.functions import values as V
 from priceloom.models import linear as L
@@ -62,7 +62,7 @@ def tier_metrics(spark, sf_dir):
 WITH {TIERS_SQL} SELECT binding_type, tier, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape, round(r2, 6) AS r2 FROM metrics""")
 def regression_metrics(spark, sf_dir):
     m = tier_metrics(spark, sf_dir)
-    return m.select("binding_type", "tier", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "mape")], F.round("r2", 6).alias("r2"))
+    return m.select("binding_type", "tier", "n", *[fixed(c, 4).alias(c) for c in ("rmse", "mae", "mape")], fixed("r2", 6).alias("r2"))
 
 
 @register("rank_models", f"""
@@ -78,7 +78,7 @@ WITH {TIERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY binding_type O
 SELECT binding_type, tier, round(r2, 6) AS r2 FROM r WHERE rank = 1""")
 def best_model_per_group(spark, sf_dir):
     best = R.best_model_per_group(tier_metrics(spark, sf_dir), ["binding_type"], "nonlinear")
-    return best.select("binding_type", "tier", F.round("r2", 6).alias("r2"))
+    return best.select("binding_type", "tier", fixed("r2", 6).alias("r2"))
 
 
 @register("prediction_examples", f"""
@@ -88,7 +88,7 @@ def prediction_examples(spark, sf_dir):
     rows = tier_predictions(spark, sf_dir).where(F.col("tier") == "family")
     examples = R.prediction_examples(rows, F.col("row_key"), 10)
     return examples.select(
-        "row_key", F.round("actual", 6).alias("actual"), *[F.round(c, 4).alias(c) for c in ("predicted", "abs_error", "pct_error")]
+        "row_key", fixed("actual", 6).alias("actual"), *[fixed(c, 4).alias(c) for c in ("predicted", "abs_error", "pct_error")]
     )
 
 
@@ -130,7 +130,7 @@ def prediction_plausibility(spark, sf_dir):
     })
     judged = Q.prediction_plausibility(rows, "binding_type")
     return judged.select(
-        "binding_type", F.array_join("issues", ";").alias("issues"), F.round("pred_mean", 4).alias("pred_mean"), F.round("p99", 4).alias("p99")
+        "binding_type", F.array_join("issues", ";").alias("issues"), fixed("pred_mean", 4).alias("pred_mean"), fixed("p99", 4).alias("p99")
     )
 
 
@@ -150,7 +150,7 @@ def prediction_screen(spark, sf_dir):
     })
     screened = Q.prediction_screen(rows, ["binding_type", "tier"])
     return screened.select(
-        "binding_type", "tier", "n", "n_negative", F.round("rmse", 4).alias("rmse"), F.array_join("issues", ";").alias("issues"), "status"
+        "binding_type", "tier", "n", "n_negative", fixed("rmse", 4).alias("rmse"), F.array_join("issues", ";").alias("issues"), "status"
     )
 
 
@@ -163,13 +163,13 @@ def topk_feature_importance(spark, sf_dir):
         "binding_type", F.concat_ws("/", "brand", "segment").alias("feature")
     ).agg(F.abs(F.avg(F.log1p("unit_price")) - 7).alias("importance"))
     top = R.topk_feature_importance(effects, ["binding_type"], 50)
-    return top.select("binding_type", "feature", F.round("importance", 6).alias("importance"), F.col("rank").cast("bigint").alias("rank"))
+    return top.select("binding_type", "feature", fixed("importance", 6).alias("importance"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("vif_table")
 def vif_table(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True).withColumn("double_size", F.col("size") * 2 + F.col("discount"))
-    return Q.vif_table(rows, [*NUMBERS, "double_size"]).select("column", F.round("vif", 4).alias("vif"))
+    return Q.vif_table(rows, [*NUMBERS, "double_size"]).select("column", fixed("vif", 4).alias("vif"))
 
 
 @register("fallback_median_model", f"""
@@ -182,7 +182,7 @@ def fallback_median_model(spark, sf_dir):
     _, limits = G.family_limits(rows, "binding_type")
     tight = limits.withColumn("bound_max", F.when(F.col("binding_type") < "M", 900.0).otherwise(F.col("bound_max")))
     spare = L.fallback_median_model(L.with_limits(rows, "binding_type", tight, "unit_price"), "binding_type")
-    return spare.select("binding_type", "model_name", F.round("intercept", 6).alias("intercept"))
+    return spare.select("binding_type", "model_name", fixed("intercept", 6).alias("intercept"))
 
 
 # --- trained models: rows only ------------------------------------------------------
@@ -204,7 +204,7 @@ def _feature_summary(coded):
     x = vector_to_array("features")
     return coded.select("binding_type", F.size(x).alias("width"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s")).groupBy(
         "binding_type", "width"
-    ).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("s"), 6).alias("mean_sum"))
+    ).agg(F.count(F.lit(1)).alias("n_rows"), fixed(F.avg("s"), 6).alias("mean_sum"))
 
 
 @register("global_model_race")
@@ -218,7 +218,7 @@ def group_linear_models(spark, sf_dir):
     rows = G.training_columns(training_rows(spark, sf_dir), "binding_type", "row_key", NUMBERS, CATEGORIES)
     _, limits = G.family_limits(rows, "binding_type")
     _, tried = L.group_linear_models(rows, "binding_type", "row_key", limits, NUMBERS, CATEGORIES)
-    return tried.select("binding_type", "model_name", "alpha", "l1_ratio", F.round("cv_r2", 6).alias("cv_r2"), F.round("cv_std", 6).alias("cv_std"))
+    return tried.select("binding_type", "model_name", "alpha", "l1_ratio", fixed("cv_r2", 6).alias("cv_r2"), fixed("cv_std", 6).alias("cv_std"))
 
 
 @register("group_nonlinear_models")
@@ -232,8 +232,8 @@ def group_nonlinear_models(spark, sf_dir):
 
 def _trained_summary(trained, group):
     return trained.models.select(
-        group, "model_name", "alpha", F.round("cv_r2", 6).alias("cv_r2"), "n_samples", "n_features", "formula"
-    ).join(trained.metrics.select(group, F.round("r2", 6).alias("r2_train"), F.round("mae", 4).alias("mae_train")), group)
+        group, "model_name", "alpha", fixed("cv_r2", 6).alias("cv_r2"), "n_samples", "n_features", "formula"
+    ).join(trained.metrics.select(group, fixed("r2", 6).alias("r2_train"), fixed("mae", 4).alias("mae_train")), group)
 
 
 @register("train_families")

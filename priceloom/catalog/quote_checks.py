@@ -8,7 +8,7 @@ from priceloom import schema as S
 from priceloom.catalog import register
 from priceloom.catalog.cleaning_checks import counted, sql_list
 from priceloom.catalog.client_checks import FEATURES, priced_input
-from priceloom.catalog.mart import OFF_HALF, SALES, r6, sales, table
+from priceloom.catalog.mart import OFF_HALF, SALES, fixed, r6, sales, table
 from priceloom.functions import values as V
 from priceloom.functions.scale import join_lookup, settle
 from priceloom.operators import dialogue as D
@@ -124,7 +124,7 @@ WITH {MODELS} SELECT row_key, round(g_price, 5) AS g, round(f_price, 5) AS f, ro
   round(coalesce(p_price, 0), 5) AS p, round(coalesce(pn_price, 0), 5) AS pn, CAST(has_pair AS BIGINT) AS has_pair FROM scored""")
 def score_tiers(spark, sf_dir):
     quotes = scored_quotes(spark, sf_dir)
-    prices = [F.round(F.col(t)["prediction"], 5).alias(k) for k, t in TIER_COLUMNS.items()]
+    prices = [fixed(F.col(t)["prediction"], 5).alias(k) for k, t in TIER_COLUMNS.items()]
     return quotes.select("row_key", *prices, F.col("couple_linear")["available"].cast("bigint").alias("has_pair"))
 
 
@@ -149,7 +149,7 @@ selected AS (
 def quote_select_tier(spark, sf_dir):
     picked = Q.quote_select_tier(scored_quotes(spark, sf_dir))
     return picked.select(
-        "row_key", "selected.strategy", F.round("selected.price", 5).alias("price"), F.round("selected.r2", 6).alias("r2")
+        "row_key", "selected.strategy", fixed("selected.price", 5).alias("price"), fixed("selected.r2", 6).alias("r2")
     )
 
 
@@ -180,7 +180,7 @@ SELECT row_key, round(least(a, b, c, coalesce(d, a), coalesce(e, a)), 5) AS gap
 def closest_prediction(spark, sf_dir):
     quotes = Q.filter_available_predictions(scored_quotes(spark, sf_dir))
     near = Q.closest_prediction(F.col("predictions"), F.col("unit_price"))
-    return quotes.select("row_key", F.round(F.abs(near["prediction"] - F.col("unit_price")), 5).alias("gap"))
+    return quotes.select("row_key", fixed(F.abs(near["prediction"] - F.col("unit_price")), 5).alias("gap"))
 
 
 CONFIDENCE = SELECTED + """,
@@ -261,7 +261,7 @@ def client_price_level(spark, sf_dir):
     rows = sales(spark, sf_dir).select("row_key", "siren", F.col("unit_price").alias("price"))
     features = client_features(priced_input(spark, sf_dir)).select("siren", "client_avg_price_ht")
     leveled = Q.client_price_level(join_lookup(rows, features, ["siren"]))
-    return leveled.select("row_key", "price_level", F.round("level_percent", 5).alias("level_percent"))
+    return leveled.select("row_key", "price_level", fixed("level_percent", 5).alias("level_percent"))
 
 
 @register("price_delta", f"""
@@ -272,7 +272,7 @@ def price_delta(spark, sf_dir):
     )
     moved = Q.price_delta(quotes.withColumn("base", F.when(F.col("line_no") == 7, 0.0).otherwise(F.col("g"))), "base", "f")
     return moved.select(
-        "row_key", F.round(F.col("f") - F.col("g") + OFF_HALF, 6).alias("delta_price"),
+        "row_key", fixed(F.col("f") - F.col("g") + OFF_HALF, 6).alias("delta_price"),
         F.coalesce("delta_percent", F.lit(-999.0)).alias("delta_percent"),
     )
 
@@ -335,7 +335,7 @@ scen AS ({' UNION ALL '.join([_numeric_sql(n) for n in ('production_page', 'quan
 @register("scenario_expand", f"WITH {SCENARIOS} SELECT quote_id, field_name, round(old_value, 6) AS old_value, round(new_value, 4) AS new_value, label FROM scen")
 def scenario_expand(spark, sf_dir):
     return expanded(spark, sf_dir).select(
-        "quote_id", "field_name", F.round("old_value", 6).alias("old_value"), F.round("new_value", 4).alias("new_value"), "label"
+        "quote_id", "field_name", fixed("old_value", 6).alias("old_value"), fixed("new_value", 4).alias("new_value"), "label"
     )
 
 
@@ -369,7 +369,7 @@ def evaluated(spark, sf_dir):
 WITH {EVALUATED} SELECT quote_id, field_name, round(scenario_price, 4) AS scenario_price, round((scenario_price - base_price) / base_price * 100, 4) AS delta_percent FROM priced_scen""")
 def scenario_evaluate(spark, sf_dir):
     return evaluated(spark, sf_dir).select(
-        "quote_id", "field_name", F.round("scenario_price", 4).alias("scenario_price"), "delta_percent"
+        "quote_id", "field_name", fixed("scenario_price", 4).alias("scenario_price"), "delta_percent"
     )
 
 
@@ -491,7 +491,7 @@ SELECT o_orderkey AS version, round((o_orderkey % 1000) / 1000.0, 4) AS r2, CASE
        CASE WHEN o_orderkey % 4 < 3 THEN 1 ELSE 0 END AS n_metrics FROM orders""")
 def tag_metric_lookup(spark, sf_dir):
     found = P.tag_metric_lookup(tagged_models(spark, sf_dir))
-    return found.select("version", F.round("r2", 4).alias("r2"), F.coalesce(F.col("metrics")["rmse"], F.lit(-1.0)).alias("rmse"), F.size("metrics").alias("n_metrics"))
+    return found.select("version", fixed("r2", 4).alias("r2"), F.coalesce(F.col("metrics")["rmse"], F.lit(-1.0)).alias("rmse"), F.size("metrics").alias("n_metrics"))
 
 
 @register("tag_algorithm_formula", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from priceloom.catalog import register
 from priceloom.catalog.client_checks import FEATURES, ROUND_FEATURES, priced_input, rounded
-from priceloom.catalog.mart import table
+from priceloom.catalog.mart import fixed, table
 from priceloom.functions.scale import fresh_path
 from priceloom.operators.clients import client_features
 from priceloom.streaming import arrivals as A
@@ -35,7 +35,7 @@ def stream_file_arrivals(spark, sf_dir):
     rows = seen.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
     fields = F.split("line", ",")
     return rows.groupBy(F.get(fields, F.lit(1)).alias("status")).agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.get(fields, F.lit(2)).cast("double")), 2).alias("total")
+        F.count(F.lit(1)).alias("n_orders"), fixed(F.sum(F.get(fields, F.lit(2)).cast("double")), 2).alias("total")
     )
 
 

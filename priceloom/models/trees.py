@@ -266,7 +266,7 @@ def group_nonlinear_models(
     screened = Q.prediction_screen(measured, by)
     errors = Q.regression_metrics(
         measured.withColumn("predicted", F.greatest("predicted", F.lit(0.0))), by
-    ).drop("n", "r2", "rmse")
+    ).drop("n", "r2", "rmse", "predicted_mean", "actual_mean")
     return settle(screened.join(errors, by), "group-tree-results"), models
 
 

@@ -144,6 +144,8 @@ def regression_metrics(df: DataFrame, by: Sequence[str], actual: str = "actual",
         F.avg(F.abs(e)).alias("mae"),
         (F.avg(F.when(y > 0, F.abs(e) / y)) * 100).alias("mape"),
         (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
+        F.avg(predicted).alias("predicted_mean"),
+        F.avg(y).alias("actual_mean"),
     )
 
 

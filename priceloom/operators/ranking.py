@@ -42,7 +42,7 @@ def target_quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame
     by comparing with it, so there is no ordering of the whole frame.
     """
     probs = {f"_e{k}": k / bins for k in range(bins + 1)}
-    edges = quantiles_of(df, [], value, probs)
+    edges = settle(quantiles_of(df, [], value, probs), "edges")
     cuts = edges.select(F.array_distinct(F.array(*list(probs))).alias("edges")).scalar()
     return df.withColumn("_edges", cuts).withColumn(
         "bin",

@@ -14,41 +14,47 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priceloom import schema as S
 from priceloom.functions import values as V
 from priceloom.functions.scale import join_lookup, settle
-from priceloom.operators.quotes import TIER_TYPE
 
 GLOBAL_MODEL = "PricingModelGlobal"
 _MODEL_FIELDS = ["model_version", "algorithm", "r2", "formula", "intercept", "coefficients", "feature_importance"]
 
 
-def family_model_name(family: Column, kind: str) -> Column:
-    return F.concat(F.lit("PricingModel_"), V.model_key(family), F.lit(f"_{kind}"))
+def family_model_name(family: Column, kind: str, spelled: bool = False) -> Column:
+    return F.concat(F.lit("PricingModel_"), family if spelled else V.model_key(family), F.lit(f"_{kind}"))
 
 
-def pair_model_name(family: Column, client: Column, kind: str) -> Column:
-    return F.concat(F.lit("PricingModel_"), V.model_key(family), F.lit("__"), V.model_key(client), F.lit(f"_{kind}"))
+def pair_model_name(family: Column, client: Column, kind: str, spelled: bool = False) -> Column:
+    parts = (family, client) if spelled else (V.model_key(family), V.model_key(client))
+    return F.concat(F.lit("PricingModel_"), parts[0], F.lit("__"), parts[1], F.lit(f"_{kind}"))
 
 
-def tier_names(family: Column, client: Column) -> dict[str, Column]:
-    """Registry name of the model each tier asks for."""
+def tier_names(family: Column, client: Column, spelled: bool = False) -> dict[str, Column]:
+    """Registry name of the model each tier asks for; ``spelled`` names are in registry spelling already."""
     return {
         "global_prediction": F.lit(GLOBAL_MODEL),
-        "family_linear": family_model_name(family, "Linear"),
-        "family_nonlinear": family_model_name(family, "NonLinear"),
-        "couple_linear": pair_model_name(family, client, "Linear"),
-        "couple_nonlinear": pair_model_name(family, client, "NonLinear"),
+        "family_linear": family_model_name(family, "Linear", spelled),
+        "family_nonlinear": family_model_name(family, "NonLinear", spelled),
+        "couple_linear": pair_model_name(family, client, "Linear", spelled),
+        "couple_nonlinear": pair_model_name(family, client, "NonLinear", spelled),
     }
 
 
-def linear_prediction(intercept: Column, coefficients: Column, numbers: Sequence[str], categories: Sequence[str]) -> Column:
-    """``intercept + sum(coefficient * feature)`` within the row."""
+def linear_prediction(
+    intercept: Column, coefficients: Column, numbers: Sequence[str] | Mapping[str, Column], categories: Sequence[str]
+) -> Column:
+    """``intercept + sum(coefficient * feature)`` within the row.
+
+    ``numbers`` may map feature names to the columns that hold them.
+    """
+    values = numbers if isinstance(numbers, Mapping) else {n: F.col(n).cast("double") for n in numbers}
     total = intercept
-    for name in numbers:
-        weight = F.element_at(coefficients, F.lit(name))
-        total = total + F.coalesce(weight * F.col(name).cast("double"), F.lit(0.0))
+    for name, value in values.items():
+        total = total + F.coalesce(F.element_at(coefficients, F.lit(name)) * value, F.lit(0.0))
     for name in categories:
-        level = F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit(V.S.MISSING)))
+        level = F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit(S.MISSING)))
         total = total + F.coalesce(F.element_at(coefficients, level), F.lit(0.0))
     return total
 
@@ -60,30 +66,38 @@ def join_model_tiers(
     client: str = "siren",
     tiers: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Attach the model of every tier as a nullable struct ``<tier>_model``.
+    """Attach the model of every tier as a struct ``<tier>_model``, its fields null without a model.
 
     The model table is written once and its size decides between broadcast and
-    salted joins; a tier without a model gets null.
+    salted joins. Fields join flat and become a struct above the join, so that
+    those nobody reads never leave the model table.
     """
     table = settle(models.select("model_name", *_MODEL_FIELDS), "models")
     rows = table.count()
-    names = tiers or tier_names(F.col(family), F.col(client))
-    for tier, name in names.items():
+    if tiers is None:
+        # the registry spelling of both names is worked out once per row
+        quotes = quotes.withColumns({"_family": V.model_key(F.col(family)), "_client": V.model_key(F.col(client))})
+        tiers = tier_names(F.col("_family"), F.col("_client"), spelled=True)
+    for tier, name in tiers.items():
         side = table.select(
-            F.col("model_name").alias("_name"), F.struct("model_name", *_MODEL_FIELDS).alias(f"{tier}_model")
+            F.col("model_name").alias("_name"), *[F.col(c).alias(f"_m_{c}") for c in ("model_name", *_MODEL_FIELDS)]
+        )
+        joined = join_lookup(quotes.withColumn("_name", name), side, ["_name"], settled_rows=rows)
+        model = F.struct(*[F.col(f"_m_{c}").alias(c) for c in ("model_name", *_MODEL_FIELDS)])
+        quotes = joined.withColumns({f"{tier}_model": model, f"{tier}_name": F.col("_name")}).drop(
+            "_name", *[f"_m_{c}" for c in ("model_name", *_MODEL_FIELDS)]
         )
-        quotes = join_lookup(quotes.withColumn("_name", name), side, ["_name"], settled_rows=rows)
-        quotes = quotes.withColumn(f"{tier}_name", F.col("_name")).drop("_name")
-    return quotes
+    return quotes.drop("_family", "_client")
 
 
 def _tier_block(tier: str, numbers: Sequence[str], categories: Sequence[str]) -> Column:
     model = F.col(f"{tier}_model")
-    there = model.isNotNull()
+    there = model["model_name"].isNotNull()
     log_price = linear_prediction(model["intercept"], model["coefficients"], numbers, categories)
+    # built in the order and with the types of quotes.TIER_TYPE
     return F.struct(
         F.col(f"{tier}_name").alias("model_name"),
-        F.coalesce(model["model_version"], F.lit(0)).cast("bigint").alias("model_version"),
+        F.coalesce(model["model_version"], F.lit(0).cast("bigint")).alias("model_version"),
         model["algorithm"].alias("algorithm"),
         F.when(there, V.price_from_log(log_price)).otherwise(F.lit(0.0)).alias("prediction"),
         model["r2"].alias("r2"),
@@ -91,7 +105,7 @@ def _tier_block(tier: str, numbers: Sequence[str], categories: Sequence[str]) ->
         model["feature_importance"].alias("feature_importance"),
         there.alias("available"),
         F.when(~there, F.lit("Model not found")).alias("reason"),
-    ).cast(TIER_TYPE)
+    )
 
 
 def score_tiers(
