@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from priceloom import schema as S
 from priceloom.functions import values as V
 from priceloom.functions.distribution import melted_counts, quantiles
 from priceloom.functions.scale import join_lookup, settle
@@ -66,11 +67,17 @@ def price_volatility(df: DataFrame) -> DataFrame:
     return client_indicators(df).drop("relative_price_index")
 
 
-def client_aggregate(df: DataFrame) -> DataFrame:
-    """One row per client; the aggregates depend on the columns that exist."""
+def _order_date(df: DataFrame) -> Column:
+    """Reception date as a date; the sentinel of the cleaned table means no date."""
     date = F.col("reception_date")
     if "reception_date" in df.columns and not isinstance(df.schema["reception_date"].dataType, T.DateType):
         date = V.parse_date(date)
+    return F.nullif(date, F.lit(S.SENTINEL_DATE).cast("date"))
+
+
+def client_aggregate(df: DataFrame) -> DataFrame:
+    """One row per client; the aggregates depend on the columns that exist."""
+    date = _order_date(df)
     available = {
         "unit_price_ht": [
             F.count("unit_price_ht").alias("client_nb_orders"),
@@ -192,8 +199,8 @@ def client_features(
         F.avg("quantity").alias("client_avg_quantity"),
         F.coalesce(F.stddev_samp("unit_price_ht"), F.lit(0.0)).alias("client_price_volatility"),
         F.lit(1.0).alias("client_relative_price"),
-        F.min("reception_date").alias("client_first_order"),
-        F.max("reception_date").alias("client_last_order"),
+        F.min(_order_date(rows)).alias("client_first_order"),
+        F.max(_order_date(rows)).alias("client_last_order"),
         *_elasticity_aggregates(),
     )
     elastic = {
