@@ -79,6 +79,11 @@ def join_model_tiers(
         quotes = quotes.withColumns({"_family": V.model_key(F.col(family)), "_client": V.model_key(F.col(client))})
         tiers = tier_names(F.col("_family"), F.col("_client"), spelled=True)
     for tier, name in tiers.items():
+        if tier == "global_prediction":
+            # one model for all rows: a scalar, not a join
+            only = table.where(F.col("model_name") == GLOBAL_MODEL).select(F.struct("model_name", *_MODEL_FIELDS).alias("m"))
+            quotes = quotes.withColumns({f"{tier}_model": only.scalar(), f"{tier}_name": name})
+            continue
         side = table.select(
             F.col("model_name").alias("_name"), *[F.col(c).alias(f"_m_{c}") for c in ("model_name", *_MODEL_FIELDS)]
         )
