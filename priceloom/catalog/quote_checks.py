@@ -98,7 +98,7 @@ def quote_rows(spark, sf_dir):
 
 def scored_quotes(spark, sf_dir):
     rows, quotes = quote_rows(spark, sf_dir)
-    return T.score_tiers(T.join_model_tiers(quotes, closed_form_models(rows)), ["log_quantity"], [])
+    return T.score_quotes(quotes, closed_form_models(rows), ["log_quantity"], [])
 
 
 TIER_COLUMNS = {"g": "global_prediction", "f": "family_linear", "fn": "family_nonlinear", "p": "couple_linear", "pn": "couple_nonlinear"}

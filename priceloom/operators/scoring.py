@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from priceloom import schema as S
 from priceloom.functions import values as V
 from priceloom.functions.scale import join_lookup, settle
+from priceloom.operators.quotes import TIER_TYPE
 
 GLOBAL_MODEL = "PricingModelGlobal"
 _MODEL_FIELDS = ["model_version", "algorithm", "r2", "formula", "intercept", "coefficients", "feature_importance"]
@@ -122,3 +123,51 @@ def score_tiers(
     """Turn every ``<tier>_model`` into a prediction block named after the tier."""
     blocks = {t: _tier_block(t, numbers, categories) for t in tiers}
     return tiered.withColumns(blocks).drop(*[f"{t}_model" for t in tiers], *[f"{t}_name" for t in tiers])
+
+
+def score_quotes(
+    quotes: DataFrame,
+    models: DataFrame,
+    numbers: Sequence[str],
+    categories: Sequence[str],
+    family: str = "binding_type",
+    client: str = "siren",
+    tiers: Sequence[str] = ("global_prediction", "family_linear", "family_nonlinear", "couple_linear", "couple_nonlinear"),
+) -> DataFrame:
+    """``join_model_tiers`` and ``score_tiers`` in one go, for large tables of quotes.
+
+    Each tier is scored right after its join, so that coefficients are dropped
+    before the next one and rows stay narrow.
+    """
+    table = settle(models.select("model_name", *_MODEL_FIELDS), "models")
+    rows = table.count()
+    spelled = quotes.withColumns({"_family": V.model_key(F.col(family)), "_client": V.model_key(F.col(client))})
+    names = tier_names(F.col("_family"), F.col("_client"), spelled=True)
+    work = [f"_m_{c}" for c in ("model_name", *_MODEL_FIELDS)]
+    for tier in tiers:
+        named = spelled.withColumn("_name", names[tier])
+        if tier == "global_prediction":
+            only = table.where(F.col("model_name") == GLOBAL_MODEL).select(F.struct("model_name", *_MODEL_FIELDS).alias("m")).scalar()
+            joined = named.withColumns({w: only.getField(w.removeprefix("_m_")) for w in work})
+        else:
+            side = table.select(
+                F.col("model_name").alias("_name"), *[F.col(w.removeprefix("_m_")).alias(w) for w in work]
+            )
+            joined = join_lookup(named, side, ["_name"], settled_rows=rows)
+        there = F.col("_m_model_name").isNotNull()
+        log_price = linear_prediction(F.col("_m_intercept"), F.col("_m_coefficients"), numbers, categories)
+        kept = {
+            "model_name": F.col("_name"),
+            "model_version": F.coalesce("_m_model_version", F.lit(0).cast("bigint")),
+            "algorithm": F.col("_m_algorithm"),
+            "prediction": F.when(there, V.price_from_log(log_price)).otherwise(F.lit(0.0)),
+            "r2": F.col("_m_r2"),
+            "formula": F.col("_m_formula"),
+            "feature_importance": F.col("_m_feature_importance"),
+            "available": there,
+            "reason": F.when(~there, F.lit("Model not found")),
+        }
+        spelled = joined.withColumns({f"_{tier}_{k}": c for k, c in kept.items()}).drop("_name", *work)
+    fields = TIER_TYPE.fieldNames()
+    blocks = {t: F.struct(*[F.col(f"_{t}_{k}").alias(k) for k in fields]) for t in tiers}
+    return spelled.withColumns(blocks).drop("_family", "_client", *[f"_{t}_{k}" for t in tiers for k in fields])
