@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import mixing, packing
+from priceloom.llm import mixing, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_seekable_warc": warc.op3_seekable_warc,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op3_seekable_warc": warc.ORACLE,
+}
