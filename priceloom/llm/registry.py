@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import mixing, packing, warc
+from priceloom.llm import mixing, packing, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_seekable_warc": warc.op3_seekable_warc,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op8_path_template_tree": urls.op8_path_template_tree,
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
 }
 CHECKS: dict[str, str] = {
