@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import mixing, packing, permutation, topk, urls, warc
+from priceloom.llm import mixing, packing, permutation, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_seekable_warc": warc.op3_seekable_warc,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
     "op6_permutation_index": permutation.op6_permutation_index,
     "op7_uniform_threshold": topk.op7_uniform_threshold,
     "op8_path_template_tree": urls.op8_path_template_tree,
