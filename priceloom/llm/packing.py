@@ -10,6 +10,7 @@ within its length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import settle
-from priceloom.llm.common import rank_within, table, text_of
+from priceloom.llm.common import bounded_batches, rank_within, table, text_of
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-# Words remembered by one Python worker.
-MEMORY_WORDS = 1_000_000
-_BATCH = 256
-_known: dict[str, dict[bytes, bytes]] = {}
+# A Python worker remembers this many words and stems that it met last, and as many before them.
+MEMORY_WORDS = 400_000
+# Texts are encoded together up to this many bytes.
+TOGETHER_BYTES = 8 << 20
+# Marks that the tokenizer always parts from a letter or digit before them.
+_MARKS = b".,!"
+_known: dict[str, list[dict[bytes, bytes]]] = {}
 
 
 def _tokenizer(path: str):
@@ -44,25 +48,61 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _recall(memory: dict, older: dict, wanted: set) -> list[bytes]:
+    """Bring what is remembered of ``wanted`` into ``memory``; returns the rest."""
+    rest = []
+    for w in wanted.difference(memory):
+        known = older.get(w)
+        if known is None:
+            rest.append(w)
+        else:
+            memory[w] = known
+    return rest
+
+
+def _stem(w: bytes) -> bytes:
+    stem = w.rstrip(_MARKS)
+    return stem if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem.decode()[-1].isalpha()) else w
+
+
 def encoded(texts: list[bytes], path: str, tokenizer) -> list[bytes]:
     """Ids of each UTF-8 text as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins across white space, so a text is the join of its
-    words and each word is encoded once per worker. Words are split at ASCII white
-    space only; whatever else the tokenizer treats as space stays inside a word.
+    The tokenizer never joins across white space and lower-cases, so a text is the join of its
+    lower-cased words, and a word is its stem and the marks that end it. A worker encodes
+    a stem once while it remembers it. Words are split at ASCII white space
+    only; whatever else the tokenizer treats as space stays inside a word. Texts
+    that may spell a special token keep their case.
     """
-    memory = _known.setdefault(path, {})
-    split = [t.split() for t in texts]
-    new = list({w for words in split for w in words if w not in memory})
-    if len(memory) + len(new) > MEMORY_WORDS:
-        memory.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        found = tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-        for w, e in zip(part, found):
-            memory[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-    return [b"".join(map(memory.__getitem__, words)) for words in split]
+    words, old_words, stems, old_stems = _known.pop(path, [{}, {}, {}, {}])
+    if len(words) > MEMORY_WORDS:
+        words, old_words = {}, words
+    if len(stems) > MEMORY_WORDS:
+        stems, old_stems = {}, stems
+    _known[path] = [words, old_words, stems, old_stems]
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    new = {w: _stem(w) for w in _recall(words, old_words, set().union(*split))}
+    parts = set(new.values())
+    parts.update(w[len(stem):] for w, stem in new.items() if len(stem) < len(w))
+    missing = _recall(stems, old_stems, parts)
+    for at in range(0, len(missing), 4096):
+        part = missing[at:at + 4096]
+        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
+            stems[w] = array("I", e.ids).tobytes()
+    for w, stem in new.items():
+        words[w] = stems[stem] if len(stem) == len(w) else stems[stem] + stems[w[len(stem):]]
+    return [b"".join(map(words.__getitem__, t)) for t in split]
+
+
+def _together(texts: list[bytes]) -> Iterator[slice]:
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > TOGETHER_BYTES:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(start, len(texts))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -71,6 +111,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     ``docs`` has doc_id and text. A document's ids end with ``END_ID``, so a null or
     empty text is one piece of one id. Only documents longer than ``capacity`` are cut.
     """
+    bounded_batches(docs.sparkSession)
     path = path or tokenizer_path()
     fields = [
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -82,11 +123,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(at, _BATCH)
-                texts = [t.encode("utf-8") for t in part.column(1).to_pylist()]
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for part in _together(texts):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoded(texts, path, tokenizer)):
+                for doc_id, ids in zip(doc_ids[part], encoded(texts[part], path, tokenizer)):
                     ids += end
                     for i, start in enumerate(range(0, len(ids), width)):
                         cut = ids[start:start + width]
