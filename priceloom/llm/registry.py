@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import mixing, packing, permutation, topk, toxicity, urls, warc
+from priceloom.llm import mixing, order_minhash, packing, permutation, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_seekable_warc": warc.op3_seekable_warc,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_permutation_index": permutation.op6_permutation_index,
     "op7_uniform_threshold": topk.op7_uniform_threshold,
     "op8_path_template_tree": urls.op8_path_template_tree,
+    "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
 }
 CHECKS: dict[str, str] = {
