@@ -1,8 +1,8 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
 The components of the vectors are cut into lists; the score is the sum of the local
-scores of all lists. Phase 1 gathers the best local scores of every list, whose
-sums bound the k-th best score from below. Phase 2 sends the cutoff (that bound over
+scores of all lists. Phase 1 gathers the best local scores of every list; the full scores of
+those vectors bound the k-th best score from below. Phase 2 sends the cutoff (that bound over
 the number of lists) to every list and gathers all entries that reach it: what reaches it
 nowhere cannot be among the best. Phase 3 resolves the candidates that are
 left exactly. Local scores are counted from the lowest of their list, so none is negative.
@@ -23,6 +23,8 @@ from priceloom.llm.vectors import longest, matrix, query_blocks, usable
 
 LISTS = 2
 SCALE = 1024
+# Phase 1 gathers this many times as many entries from a list as are asked for.
+DEPTH = 4
 TOP = 10
 EVERY = 100
 # Scores are exact up to this size.
@@ -115,68 +117,69 @@ class _Reaching:
         return iter(())
 
 
-def _kth(sums: DataFrame, value: str, k: int) -> DataFrame:
+def _kth(scores: DataFrame, value: str, k: int) -> DataFrame:
+    """The k-th largest value of each query that has k."""
     order = Window.partitionBy("query_id").orderBy(F.col(value).desc())
-    return sums.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).groupBy("query_id").agg(
-        F.when(F.max("_r") == k, F.min(value)).otherwise(F.lit(0)).alias("bound")
-    )
+    return scores.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).groupBy("query_id").agg(
+        F.max("_r").alias("_n"), F.min(value).alias("bound")
+    ).where(F.col("_n") == k).drop("_n")
+
+
+def _resolve(pairs: DataFrame, vectors: DataFrame, ids: np.ndarray, q: np.ndarray) -> DataFrame:
+    """Full scores of the ``pairs`` (query_id, vec_id)."""
+    place = {v: n for n, v in enumerate(ids.tolist())}
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec_ids, x = matrix(pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["vec_id", "v"]), q.shape[1])
+            rows = [place[v] for v in batch.column(0).to_pylist()]
+            x = whole(x)
+            score = np.array([products(q[r:r + 1], x[n:n + 1])[0, 0] for n, r in enumerate(rows)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec_ids), pa.array(score)], schema=schema)
+
+    return pairs.join(vectors, "vec_id").select("query_id", "vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def best_of_block(vectors: DataFrame, slices: list[DataFrame], bounds: list[tuple[int, int]], ids: np.ndarray, q: np.ndarray, top: int) -> DataFrame:
-    """The exact ``top`` of one bounded block of queries: query_id, vec_id, score."""
+    """Candidates with their full scores that hold the exact ``top`` of one bounded block of queries: query_id, vec_id, score."""
     spark, lists = vectors.sparkSession, len(slices)
     parts = [q[:, a:b] for a, b in bounds]
-    first = None
-    for i, part in enumerate(slices):
-        entries = _entries(part, i, ids, parts[i], lambda i=i: _Best(ids, i, top))
-        first = entries if first is None else first.union(entries)
-    first = settle(first, "phase1")
+    depth = DEPTH * top
+    first = settle(_union([_entries(s, i, ids, parts[i], lambda i=i: _Best(ids, i, depth)) for i, s in enumerate(slices)]), "phase1")
     order = Window.partitionBy("query_id", "list").orderBy(F.col("local").desc(), "vec_id")
-    leading = first.where("vec_id is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    leading = first.where("vec_id is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= depth)
     low = first.where("vec_id is null").groupBy("query_id", "list").agg(F.min("local").alias("low"))
-    sums = leading.join(low, ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("local") - F.col("low")).alias("known"))
-    # one row per query of the block and list
+    known = settle(_resolve(leading.select("query_id", "vec_id").distinct(), vectors, ids, q), "phase1-scores")
+    # one row per query of the block, and per list
     position = {v: n for n, v in enumerate(ids.tolist())}
-    bound = np.zeros(len(ids), dtype=np.int64)
-    for r in _kth(sums, "known", top).collect():
-        bound[position[r["query_id"]]] = r["bound"]
     lowest = np.zeros((lists, len(ids)), dtype=np.int64)
     for r in low.collect():
         lowest[r["list"], position[r["query_id"]]] = r["low"]
+    bound = np.zeros(len(ids), dtype=np.int64)
+    for r in _kth(known, "score", top).collect():
+        at = position[r["query_id"]]
+        bound[at] = max(r["bound"] - int(lowest[:, at].sum()), 0)
     share = -(-bound // lists)
-    second = None
-    for i, part in enumerate(slices):
-        entries = _entries(part, i, ids, parts[i], lambda i=i: _Reaching(ids, i, lowest[i] + share))
-        second = entries if second is None else second.union(entries)
+    second = _union([_entries(s, i, ids, parts[i], lambda i=i: _Reaching(ids, i, lowest[i] + share)) for i, s in enumerate(slices)])
     per_query = spark.createDataFrame(
-        [(int(v), int(share[n]), [int(x) for x in lowest[:, n]]) for n, v in enumerate(ids.tolist())],
-        "_q long, share long, lows array<long>",
-    )
-    gathered = settle(
-        second.groupBy("query_id", "vec_id").agg(
-            F.sum("local").alias("_local"), F.count(F.lit(1)).alias("lists"), F.collect_list("list").alias("_in")
-        ).join(F.broadcast(per_query), F.col("query_id") == F.col("_q")).select(
-            "query_id", "vec_id", "lists", "share",
-            (F.col("_local") - F.aggregate("_in", F.lit(0).cast("long"), lambda a, i: a + F.get("lows", i))).alias("known"),
-        ),
-        "phase2",
+        [(int(v), int(share[n]), int(bound[n]), [int(x) for x in lowest[:, n]]) for n, v in enumerate(ids.tolist())],
+        "_q long, share long, bound long, lows array<long>",
     )
-    reached = _kth(gathered, "known", top)
-    hopeful = gathered.join(reached, "query_id").where(
-        F.col("known") + (lists - F.col("lists")) * F.col("share") >= F.col("bound")
-    ).select("query_id", "vec_id")
-    place = {v: n for n, v in enumerate(ids.tolist())}
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vec_ids, x = matrix(pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["vec_id", "v"]), q.shape[1])
-            rows = [place[v] for v in batch.column(0).to_pylist()]
-            x = whole(x)
-            score = np.array([products(q[r:r + 1], x[n:n + 1])[0, 0] for n, r in enumerate(rows)], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec_ids), pa.array(score)], schema=schema)
-
-    return hopeful.join(vectors, "vec_id").select("query_id", "vec_id", "v").mapInArrow(resolve, "query_id long, vec_id long, score long")
+    # an unseen local score is below the share, so the sum of all cannot exceed this
+    most = F.col("known") + (lists - F.col("lists")) * F.col("share")
+    hopeful = second.join(F.broadcast(per_query), F.col("query_id") == F.col("_q")).groupBy("query_id", "vec_id").agg(
+        F.sum(F.col("local") - F.get("lows", F.col("list"))).alias("known"), F.count(F.lit(1)).alias("lists"),
+        F.first("share").alias("share"), F.first("bound").alias("bound"),
+    ).where(most >= F.col("bound")).select("query_id", "vec_id")
+    return _resolve(hopeful, vectors, ids, q)
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, top: int = TOP, lists: int = LISTS) -> DataFrame:
