@@ -85,7 +85,7 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 
 
-def bounded_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Bound the bytes of a batch sent to Python, so that very long texts do not pile up; a set bound is kept."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
