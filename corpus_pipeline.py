@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from priceloom.functions.scale import settle
-from priceloom.llm import mixing, packing
+from priceloom.llm import mixing, order_minhash, packing, substrings, toxicity
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity.stage),
+    ("near_copies", order_minhash.stage),
+    ("substrings", substrings.stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),
 ]
