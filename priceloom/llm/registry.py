@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import mixing, order_minhash, packing, permutation, substrings, topk, toxicity, urls, warc
+from priceloom.llm import mixing, order_minhash, packing, permutation, pitman_yor, substrings, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op2_collinear_chaining": substrings.op2_collinear_chaining,
     "op3_seekable_warc": warc.op3_seekable_warc,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
 }
 CHECKS: dict[str, str] = {
+    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op2_collinear_chaining": substrings.op2_collinear_chaining,
     "op3_seekable_warc": warc.ORACLE,
 }
