@@ -124,12 +124,11 @@ def _round_cells(key, parts):
     cells = parts.sort_values("size", ascending=False, kind="stable")
     carry, whole, extra = 0.0, [], []
     for n, size, rate in zip(cells["n"], cells["size"], cells["rate"]):
-        low = int(np.floor(rate))
-        wanted = n * (rate - low) + carry / size
-        take = int(min(max(np.floor(wanted + 0.5), 0), n if low < CAP else 0))
-        carry += size * (n * (rate - low) - take)
-        whole.append(low)
-        extra.append(take)
+        wanted = n * rate + carry / size
+        copies = int(min(max(np.floor(wanted + 0.5), 0), CAP * n))
+        carry += size * (n * rate - copies)
+        whole.append(copies // n)
+        extra.append(copies % n)
     return pd.DataFrame({"source": cells["source"], "size": cells["size"], "whole": whole, "extra": extra})
 
 
@@ -140,8 +139,8 @@ def mix(
     """Copies of every document in the mix: doc_id, source, size, source_size, target, rate, copies, taken.
 
     Size is the number of words (null text: 0). Documents of equal source and size
-    share a rate; ``rate`` is rounded so that the words of a source meet its target
-    up to about half its smallest document. Which of equal-sized documents get
+    share a rate; rates are rounded, largest documents first, so that the words of a source meet its target
+    up to about half its smallest document (a document that outweighs all the rest of its source may leave more). Which of equal-sized documents get
     the extra copy follows a hash of the id (or of ``order_column``). Empty tables give no rows; documents of
     size 0 and sources without words take nothing; repeated rows are documents of
     their own; other columns are not read.

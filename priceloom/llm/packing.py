@@ -62,7 +62,7 @@ def _recall(memory: dict, older: dict, wanted: set) -> list[bytes]:
 
 def _stem(w: bytes) -> bytes:
     stem = w.rstrip(_MARKS)
-    return stem if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem.decode()[-1].isalpha()) else w
+    return stem if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem.decode().lower()[-1].isalpha()) else w
 
 
 def encoded(texts: list[bytes], path: str, tokenizer) -> list[bytes]:
