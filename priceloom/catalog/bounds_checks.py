@@ -12,20 +12,20 @@ from priceloom.operators import bounds as B
 from priceloom.operators import quality as Q
 from priceloom.operators import ranking as R
 
-# Brand 1 keeps fewer than ten rows, so that it takes the shared bounds.
+# Tiny families keep fewer than ten rows, so that they take the shared bounds; seventh lines have no family.
 FAMILY_ROWS = f"""
 {SALES},
-fam AS (SELECT CASE WHEN order_id < 40 THEN 'TINY_' || line_no ELSE binding_type END AS family, unit_price, row_key FROM sales)"""
+fam AS (SELECT CASE WHEN order_id < 40 THEN 'TINY_' || line_no WHEN line_no <> 7 THEN binding_type END AS family, unit_price, row_key FROM sales)"""
 
 
 def family_rows(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True)
     tiny = F.concat(F.lit("TINY_"), F.col("line_no"))
-    return rows.withColumn("binding_type", F.when(F.col("order_id") < 40, tiny).otherwise(F.col("binding_type")))
+    return rows.withColumn("binding_type", F.when(F.col("order_id") < 40, tiny).when(F.col("line_no") != 7, F.col("binding_type")))
 
 
 CLEAN = """
-pooled AS (SELECT family, unit_price AS v FROM {rows} UNION ALL SELECT 'DEFAULT', unit_price FROM {rows}),
+pooled AS (SELECT family, unit_price AS v FROM {rows} WHERE family IS NOT NULL UNION ALL SELECT 'DEFAULT', unit_price FROM {rows}),
 q AS (SELECT family, count(*) AS n_samples, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, min(v) AS min_raw, max(v) AS max_raw FROM pooled GROUP BY 1),
 inside AS (SELECT b.family, v FROM pooled b JOIN q USING (family) WHERE v BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1)),
 c AS (
@@ -64,7 +64,7 @@ def price_bounds_iqr(spark, sf_dir):
 # Pairs of family and country; orders below 400 form pairs with few rows.
 PAIR_ROWS = f"""
 {SALES},
-pairs AS (SELECT CASE WHEN order_id < 400 THEN 'RARE__' || order_id % 50 ELSE binding_type || '__' || country END AS family, unit_price FROM sales)"""
+pairs AS (SELECT CASE WHEN order_id < 400 THEN 'RARE__' || order_id % 50 WHEN line_no <> 7 THEN binding_type || '__' || country END AS family, unit_price FROM sales)"""
 
 
 @register("price_bounds_group", f"""
@@ -81,7 +81,7 @@ def price_bounds_group(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True, nation=True)
     rare = F.concat(F.lit("RARE__"), F.col("order_id") % 50)
     rows = rows.withColumn(
-        "pair", F.when(F.col("order_id") < 400, rare).otherwise(V.pair_key(F.col("binding_type"), F.col("country")))
+        "pair", F.when(F.col("order_id") < 400, rare).when(F.col("line_no") != 7, V.pair_key(F.col("binding_type"), F.col("country")))
     )
     found = B.price_bounds_group(rows, "pair")
     return rounded(found.select("group", "min", "max", "default", "n_samples", "n_clean", "mean"), shift=OFF_HALF)
@@ -100,7 +100,7 @@ def join_bounds_with_default(spark, sf_dir):
 
 
 @register("price_distribution_report", f"""
-WITH {FAMILY_ROWS}, pooled AS (SELECT family, unit_price AS v FROM fam UNION ALL SELECT 'ALL FAMILIES', unit_price FROM fam),
+WITH {FAMILY_ROWS}, pooled AS (SELECT family, unit_price AS v FROM fam WHERE family IS NOT NULL UNION ALL SELECT 'ALL FAMILIES', unit_price FROM fam),
 q AS (SELECT family, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM pooled GROUP BY 1),
 j AS (SELECT *, v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1) AS out FROM pooled JOIN q USING (family))
 SELECT family, count(*) AS n_samples, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean,
@@ -167,7 +167,7 @@ def feature_eligibility(spark, sf_dir):
     rows = sales(spark, sf_dir, part=True, nation=True).withColumn("flat", F.lit(1.0))
     rare = F.concat(F.lit("RARE__"), F.col("order_id") % 50)
     rows = rows.withColumn(
-        "pair", F.when(F.col("order_id") < 400, rare).otherwise(V.pair_key(F.col("binding_type"), F.col("country")))
+        "pair", F.when(F.col("order_id") < 400, rare).when(F.col("line_no") != 7, V.pair_key(F.col("binding_type"), F.col("country")))
     )
     found = Q.feature_eligibility(rows, "pair", NUMBERS, CATEGORIES, min_numeric=8)
     return found.select(

@@ -57,16 +57,17 @@ def scan_relations(spark, sf_dir):
 
 
 @register("scan_dumps_with_provenance", """
-SELECT 'extract_' || lower(o_orderstatus) AS source,
+SELECT CASE o_orderstatus WHEN 'F' THEN 'dump_1' WHEN 'O' THEN 'dump_10' ELSE 'dump_1' END AS source,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 3 END::BIGINT AS source_rank,
        count(*) AS n_rows
 FROM orders GROUP BY ALL""")
 def scan_dumps_with_provenance(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     base = fresh_path(spark, "dumps")
-    names = ["extract_f", "extract_o", "extract_empty", "extract_p"]
-    for name in names:
-        orders.where(F.concat(F.lit("extract_"), F.lower("o_orderstatus")) == name).write.parquet(f"{base}/{name}")
+    # a name that begins with another one, an empty extract, and an equal name in another folder
+    names = {"dump_1": "F", "dump_10": "O", "dump_empty": "", "dump_10_more/dump_1": "P"}
+    for name, status in names.items():
+        orders.where(F.col("o_orderstatus") == status).write.parquet(f"{base}/{name}")
     dumps = R.scan_dumps_with_provenance(spark, [f"{base}/{n}" for n in names], orders.schema)
     return R.rows_per_source(dumps).withColumn("source_rank", F.col("source_rank").cast("bigint"))
 
@@ -141,10 +142,11 @@ def run_ledger(spark, sf_dir):
 
 @register("file_fingerprint", """
 SELECT count(*) AS n_rows,
-       CAST(sum(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 8))::BIGINT) AS BIGINT) AS row_hash_sum
+       CAST(sum(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT), strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority)), 1, 8))::BIGINT) AS BIGINT) AS row_hash_sum
 FROM orders""")
 def file_fingerprint(spark, sf_dir):
-    columns = [F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")]
+    cents, day = F.round(F.col("o_totalprice") * 100).cast("bigint"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    columns = [c.cast("string") for c in (F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), cents, day, F.col("o_orderpriority"))]
     return K.table_fingerprint(table(spark, sf_dir, "orders"), columns)
 
 

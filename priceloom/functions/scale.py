@@ -11,16 +11,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A lookup of at most this many rows may be broadcast.
+# A lookup of at most this many rows and written bytes may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
 # A key holding more than 1/HOT_SHARE of the rows is hot; there are fewer than
 # HOT_SHARE such keys, whatever the data.
 HOT_SHARE = 1_000
+# A piece of a hot key has about this many rows at most.
+PIECE_ROWS = 1_000_000
+# Rows without a key match nothing and are spread over this many salts.
+NULL_PIECES = 4_096
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -49,6 +56,11 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Spark's size of the plan: the bytes of the files where it reads a written table."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _row_hash(df: DataFrame) -> Column:
     hashable = [
         F.col(f"`{field.name}`")
@@ -63,7 +75,7 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     counts = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
     total = counts.agg(F.sum("_n")).scalar()
     return counts.where(F.col("_n") * HOT_SHARE > total).select(
-        *keys, F.ceil(F.col("_n") * HOT_SHARE / total).cast("int").alias("_pieces")
+        *keys, F.ceil(F.greatest(F.col("_n") * HOT_SHARE / total, F.col("_n") / PIECE_ROWS)).cast("int").alias("_pieces")
     )
 
 
@@ -73,7 +85,8 @@ def join_salted(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     hot = F.broadcast(settle(hot_keys(fact, keys), "hot-keys"))
     left = fact.join(hot, keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
+        F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.pmod(_row_hash(fact), F.lit(NULL_PIECES)).cast("int"))
+        .when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
             F.pmod(_row_hash(fact), F.col("_pieces")).cast("int")
         ),
     )
@@ -97,12 +110,12 @@ def join_lookup(
 
     ``lookup`` is settled and counted first, so that neither the size check nor
     the join computes it twice. A caller that reads a written table passes its
-    row count instead.
+    row count instead. Wide rows are held against a limit in bytes.
     """
     table, rows = lookup, settled_rows
     if rows is None:
         table = settle(lookup, "lookup")
         rows = table.count()
-    if rows <= broadcast_rows:
+    if rows <= broadcast_rows and written_bytes(table) <= BROADCAST_BYTES:
         return fact.join(F.broadcast(table), keys, how)
     return join_salted(fact, table, keys, how)

@@ -33,16 +33,22 @@ def extract(relations: Mapping[str, DataFrame], columns: Mapping[str, Mapping[st
 
 
 def build_mart(
-    relations: Mapping[str, DataFrame],
+    relations: Mapping[str, DataFrame] | Sequence[Mapping[str, DataFrame]],
     static: DataFrame | None = None,
     columns: Mapping[str, Mapping[str, str]] = CHILD_COLUMNS,
-    precedence: Sequence[str] = ("source_rank", "line_no"),
+    precedence: Sequence[str] = ("source_rank", "source_file"),
 ) -> DataFrame:
-    """Static history first, then the extract; one row per part."""
-    frames = [extract(relations, columns).withColumn("source_rank", F.lit(1))]
+    """Static history first, then the extracts in their order; one row per part.
+
+    ``relations`` is one extract or a list of them. Columns of ``precedence`` that no
+    frame has are passed over.
+    """
+    extracts = [relations] if isinstance(relations, Mapping) else list(relations)
+    frames = [extract(r, columns).withColumn("source_rank", F.lit(i)) for i, r in enumerate(extracts, 1)]
     if static is not None:
         frames.insert(0, static.withColumn("source_rank", F.lit(0)))
-    order = [F.col("source_rank"), *[F.col(c).asc_nulls_last() for c in precedence if c != "source_rank"]]
+    known = {c for f in frames for c in f.columns}
+    order = [F.col("source_rank"), *[F.col(c).asc_nulls_last() for c in precedence if c != "source_rank" and c in known]]
     return consolidate.consolidate(frames, order).drop("source_rank")
 
 

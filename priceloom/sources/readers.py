@@ -38,9 +38,9 @@ def scan_validated(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    max_file_mb: int | None = 500,
+    max_file_mb: int | None = None,
 ) -> DataFrame:
-    """Read by file type; reject missing, empty, oversize and unknown inputs."""
+    """Read by file type; reject missing, empty, unknown and, with a limit, oversize inputs."""
     files = _files(spark, path)
     if not files or not any(size for _, size in files):
         raise ValueError(f"Empty file: {path}")
@@ -91,15 +91,22 @@ def scan_dumps_with_provenance(
     ``source_rank`` follows the order of ``paths`` (an earlier extract wins a
     later keep-first). Extracts without rows vanish by themselves.
     """
-    names = [PurePosixPath(p.rstrip("/")).name for p in paths]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    roots = []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        roots.append(place.getFileSystem(conf).makeQualified(place).toUri().getPath())
     df = spark.read.schema(schema).format(fmt).option("recursiveFileLookup", True).load(list(paths))
     file = F.col("_metadata.file_path")
-    rank, source = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for i, name in enumerate(names):
-        inside = F.contains(F.url_decode(file), F.lit(f"/{name}"))
-        rank = F.when(rank.isNull() & inside, F.lit(i)).otherwise(rank)
-        source = F.when(source.isNull() & inside, F.lit(name)).otherwise(source)
-    return df.select("*", source.alias("source"), file.alias("source_file"), rank.alias("source_rank"))
+    # the path of a file without its scheme and host, as the roots are
+    inside = F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    rank = F.lit(None).cast("int")
+    # the longest root that holds the file, so that nested extracts keep their rows
+    for i in sorted(range(len(roots)), key=lambda i: (len(roots[i]), -i)):
+        held = F.startswith(inside, F.lit(roots[i].rstrip("/") + "/")) | (inside == roots[i])
+        rank = F.when(held, F.lit(i)).otherwise(rank)
+    names = F.array(*[F.lit(PurePosixPath(p.rstrip("/")).name) for p in paths])
+    return df.select("*", F.get(names, rank).alias("source"), file.alias("source_file"), rank.alias("source_rank"))
 
 
 def rows_per_source(df: DataFrame) -> DataFrame:

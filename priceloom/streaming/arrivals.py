@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from priceloom import schema as S
 
-MAX_FILE_MB = 500
 # Names the arrivals skip.
 IGNORED_FILES = ["current_source.sql", "mysql_db_dump.sql"]
 WHOLE_FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -27,12 +26,13 @@ def stream_file_arrivals(
     folder: str,
     pattern: str = "*.sql",
     ignored: Iterable[str] = tuple(IGNORED_FILES),
-    max_file_mb: int = MAX_FILE_MB,
+    max_file_mb: int | None = None,
     files_per_batch: int = 1,
 ) -> DataFrame:
-    """Whole files as they arrive: name, size, time, content and its MD5.
+    """Every file as it arrives: name, size, time, ``accepted``, ``reason``; content and its MD5 of accepted ones.
 
-    Empty, oversize and ignored files are left out; a path is announced once.
+    Empty and ignored files, and oversize ones where a limit is given, stay as rows with the
+    reason and without content; a path is announced once.
     """
     files = (
         spark.readStream.schema(WHOLE_FILE).format("binaryFile")
@@ -41,10 +41,13 @@ def stream_file_arrivals(
         .load(folder)
     )
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(
-        (F.col("length") > 0) & (F.col("length") <= max_file_mb * 1024 * 1024) & ~name.isin(list(ignored))
-    ).select(
-        "path", name.alias("file_name"), "length", "modificationTime", "content", F.md5("content").alias("content_md5")
+    reason = F.when(name.isin(list(ignored)), "ignored").when(F.col("length") == 0, "empty")
+    if max_file_mb is not None:
+        reason = reason.when(F.col("length") > max_file_mb * 1024 * 1024, "oversize")
+    content = F.when(F.col("reason").isNull(), F.col("content"))
+    return files.withColumn("reason", reason).select(
+        "path", name.alias("file_name"), "length", "modificationTime", F.col("reason").isNull().alias("accepted"), "reason",
+        content.alias("content"), F.md5(content).alias("content_md5"),
     )
 
 
@@ -108,7 +111,7 @@ def stream_refresh_features(
             rows = spark.read.parquet(part).count()
             refresh(spark.read.schema(batch.schema).parquet(history), f"{folder}/layers/{batch_id}")
         except Exception as exc:
-            _ledger_row(spark, batch_id, started, rows, str(exc)[:500]).write.mode("overwrite").parquet(f"{ledger}/{batch_id}-failed")
+            _ledger_row(spark, batch_id, started, rows, str(exc)).write.mode("overwrite").parquet(f"{ledger}/{batch_id}-failed")
             raise
         _ledger_row(spark, batch_id, started, rows, None).write.mode("overwrite").parquet(f"{ledger}/{batch_id}")
 
