@@ -3,8 +3,8 @@
 A sketch takes the ``PICKS`` smallest of a text's word k-mers, each labelled with its
 occurrence, under one hash order and keeps them in the order of the text. Texts
 with small edit distance share many sketches; shuffled texts do not. Texts that share a sketch
-are aligned with leaders of their bucket, so a bucket of any size gives as many pairs as it
-has texts, and texts that match no leader go on to further rounds.
+are aligned with the leader of their bucket, so a bucket of any size gives no more pairs than it
+has texts, and texts that do not match it go on to further rounds.
 """
 
 from __future__ import annotations
@@ -149,9 +149,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     ``docs`` (doc_id, text) must be a table read. Texts with equal words are one class; different texts are linked
     if they share a sketch with a leader of a bucket and their edit similarity is at least
-    ``similarity``; classes are the connected components. In every bucket the two leaders are the
-    first and last text in the order of a hash; texts unlike both meet new leaders in the next round,
-    in buckets that also share the next sketch, until no bucket holds two of them.
+    ``similarity``; classes are the connected components. The leader of a bucket is its first text
+    in the order of a hash; texts unlike it meet new leaders in the next round, in buckets that share twice as many
+    sketches, until a bucket shares all of them or none holds two texts.
     Null and blank texts are one class; repeated rows are copies; null ids are the smallest; other columns are not read.
     """
     spark = docs.sparkSession
@@ -168,12 +168,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     waiting = texts.where(F.element_at("sigs", 1) != 0).select("a", "sigs", F.posexplode("sigs").alias("s", "bucket"))
     words, links, tried, turn = None, None, None, 0
     while True:
-        lead = F.struct(F.xxhash64("a", "s").alias("h"), "a")
+        # one order of texts for all buckets of a round, so that a group has few leaders
+        lead = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a")
         buckets = waiting.groupBy("s", "bucket").agg(F.min(lead).alias("x"), F.max(lead).alias("y")).where("x <> y")
         near = settle(
-            waiting.join(buckets.select("s", "bucket", F.array("x.a", "y.a").alias("b")), ["s", "bucket"])
-            .select("a", "sigs", "s", "bucket", F.explode("b").alias("b")).where("a <> b"),
-            "bucket-pairs",
+            waiting.join(buckets.select("s", "bucket", F.col("x.a").alias("b")), ["s", "bucket"]).where("a <> b"), "bucket-pairs"
         )
         pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:
@@ -188,19 +187,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         words = more if words is None else words.union(more)
         judged = settle(_similar(pairs, words, similarity), "judged")
         tried = judged if tried is None else tried.union(judged)
-        # a text is settled in a bucket once it is linked to one of its leaders or leads itself
-        ok = tried.where("ok").select(F.col("a").alias("p"), F.col("b").alias("q"))
-        joined = near.join(ok, (F.greatest("a", "b") == F.col("p")) & (F.least("a", "b") == F.col("q")), "left")
-        turn += 1
-        left = joined.groupBy("a", "s", "bucket").agg(F.max(F.col("p").isNotNull()).alias("linked"), F.count("b").alias("n"), F.first("sigs").alias("sigs"))
-        # a leader meets one other text here, the rest two
-        left = left.where((F.col("n") == 2) & ~F.col("linked"))
-        waiting = settle(
-            left.select("a", "sigs", "s", F.xxhash64("bucket", F.element_at("sigs", ((F.col("s") + turn) % number + 1).cast("int"))).alias("bucket")),
-            "waiting",
-        )
-        if turn >= SKETCHES or waiting.limit(1).count() == 0:
+        if 1 << turn >= SKETCHES:
             break
+        # who is unlike the leader meets others that are, in buckets that share more sketches: 1, 2, 4 and 8 further ones
+        unlike = tried.where("not ok").select(F.col("a").alias("p"), F.col("b").alias("q"))
+        left = near.join(unlike, (F.greatest("a", "b") == F.col("p")) & (F.least("a", "b") == F.col("q")), "left_semi")
+        further = [F.element_at("sigs", ((F.col("s") + o) % number + 1).cast("int")) for o in range(1 << turn, 2 << turn)]
+        turn += 1
+        waiting = settle(left.select("a", "sigs", "s", F.xxhash64("bucket", *further).alias("bucket")), "waiting")
     links = spark.createDataFrame([], "u long, v long") if tried is None else tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(links)
     classes = texts.select("key1", "key2", "a").join(roots, F.col("a") == F.col("node"), "left").select(
