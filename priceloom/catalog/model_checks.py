@@ -14,6 +14,7 @@ from priceloom.functions import values as V
 from priceloom.models import linear as L
 from priceloom.models import training as G
 from priceloom.models import trees as W
+from priceloom.operators import bounds as B
 from priceloom.operators import quality as Q
 from priceloom.operators import ranking as R
 from priceloom.operators import scoring as T
@@ -224,8 +225,11 @@ def group_linear_models(spark, sf_dir):
 @register("group_nonlinear_models")
 def group_nonlinear_models(spark, sf_dir):
     rows = G.training_columns(training_rows(spark, sf_dir), "binding_type", "row_key", NUMBERS, CATEGORIES)
-    _, limits = G.family_limits(rows, "binding_type")
-    names = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(64).collect()]
+    bounds, _ = G.family_limits(rows, "binding_type")
+    limits = B.clip_limits(rows, "binding_type", rule="nonlinear").join(
+        bounds.select(F.col("family").alias("binding_type"), F.col("min").alias("bound_min"), F.col("max").alias("bound_max")), "binding_type"
+    )
+    names = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").collect()]
     results, _ = W.group_nonlinear_models(rows, "binding_type", "row_key", limits, names, NUMBERS, CATEGORIES, settings=TREES)
     return results.withColumn("issues", F.array_join("issues", ";"))
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    FeatureHasher,
     OneHotEncoder,
     RobustScaler,
     StandardScaler,
@@ -30,19 +29,10 @@ from priceloom.operators import ranking as R
 
 RARE = "__rare__"
 SEED = 42
-# Categories with more levels than this are hashed: an index keeps its labels on the driver.
-MAX_INDEXED_LEVELS = 10_000
-HASH_BUCKETS = 1 << 16
 
 
-def fold_rare_levels(
-    df: DataFrame, categories: Sequence[str], minimum: int = 10, max_levels: int = MAX_INDEXED_LEVELS
-) -> tuple[DataFrame, list[str], list[str]]:
-    """Levels with fewer rows than the minimum become one level.
-
-    Returns the frame, the categories to index and those to hash (too many
-    frequent levels for an index).
-    """
+def fold_rare_levels(df: DataFrame, categories: Sequence[str], minimum: int = 10) -> DataFrame:
+    """Levels with fewer rows than the minimum become one level, whatever their number."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in categories])
     frequent = settle(
         df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull())
@@ -51,16 +41,15 @@ def fold_rare_levels(
         "levels",
     )
     sizes = {r["column"]: r["n"] for r in frequent.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    indexed = [c for c in categories if sizes.get(c, 0) <= max_levels]
     out = df
-    for c in indexed:
+    for c in categories:
         known = frequent.where(F.col("column") == c).select(F.col("value").alias(c), F.lit(True).alias("_known"))
         out = join_lookup(out.withColumn(c, F.col(c).cast("string")), known, [c], settled_rows=sizes.get(c, 0))
         out = out.withColumn(c, F.when(F.col("_known"), F.col(c)).otherwise(RARE)).drop("_known")
-    return out, indexed, [c for c in categories if c not in indexed]
+    return out
 
 
-def _encoders(numbers: Sequence[str], indexed: Sequence[str], hashed: Sequence[str], scaler) -> Pipeline:
+def _encoders(numbers: Sequence[str], indexed: Sequence[str], scaler) -> Pipeline:
     stages: list = [VectorAssembler(inputCols=list(numbers), outputCol="_numbers"), scaler]
     parts = ["_scaled"]
     if indexed:
@@ -73,25 +62,22 @@ def _encoders(numbers: Sequence[str], indexed: Sequence[str], hashed: Sequence[s
             handleInvalid="keep",
         ))
         parts += [f"_oh_{c}" for c in indexed]
-    if hashed:
-        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="_hashed", numFeatures=HASH_BUCKETS))
-        parts.append("_hashed")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return Pipeline(stages=stages)
 
 
 def _apply(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
-    return out.drop(*[c for c in out.columns if c.startswith(("_ix_", "_oh_"))], "_numbers", "_scaled", "_hashed")
+    return out.drop(*[c for c in out.columns if c.startswith(("_ix_", "_oh_"))], "_numbers", "_scaled")
 
 
 def feature_pipeline_standard(
     df: DataFrame, numbers: Sequence[str], categories: Sequence[str], min_frequency: int = 10
 ) -> tuple[DataFrame, PipelineModel]:
     """Standard scaling and one-hot with rare levels folded; adds ``features``."""
-    rows, indexed, hashed = fold_rare_levels(_doubles(df, numbers), categories, min_frequency)
+    rows = fold_rare_levels(_doubles(df, numbers), categories, min_frequency)
     scaler = StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)
-    model = _encoders(numbers, indexed, hashed, scaler).fit(rows)
+    model = _encoders(numbers, categories, scaler).fit(rows)
     return _apply(model, rows), model
 
 
@@ -99,9 +85,9 @@ def feature_pipeline_robust(
     df: DataFrame, numbers: Sequence[str], categories: Sequence[str]
 ) -> tuple[DataFrame, PipelineModel]:
     """Median centring and 5-95 range scaling; adds ``features``."""
-    rows, indexed, hashed = fold_rare_levels(_doubles(df, numbers), categories, 1)
+    rows = fold_rare_levels(_doubles(df, numbers), categories, 1)
     scaler = RobustScaler(inputCol="_numbers", outputCol="_scaled", withCentering=True, withScaling=True, lower=0.05, upper=0.95)
-    model = _encoders(numbers, indexed, hashed, scaler).fit(rows)
+    model = _encoders(numbers, categories, scaler).fit(rows)
     return _apply(model, rows), model
 
 
@@ -231,8 +217,7 @@ def group_nonlinear_models(
     """Tree ensembles for the named groups: fit on 80 %, screened and measured on 20 %.
 
     Features are encoded once for all rows and written; each group is a filtered
-    read of that table. ``groups`` is a short list given by the caller: families
-    always, pairs only the largest.
+    read of that table. Every group of the list given by the caller is fitted.
     """
     from priceloom.models.linear import with_limits
 
