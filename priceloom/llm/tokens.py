@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 MEMORY_WORDS = 400_000
@@ -32,7 +34,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for w in set().union(*split).difference(_known):
         _known[w] = xxhash.xxh64_intdigest(w)
     counts = np.array([len(s) for s in split], dtype=np.int64)
-    flat = np.fromiter((h for s in split for h in map(_known.__getitem__, s)), dtype=np.uint64, count=int(counts.sum()))
+    flat = np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(counts.sum()))
     return flat, counts
 
 
