@@ -92,6 +92,7 @@ def quote_rows(spark, sf_dir):
     client = F.when(F.col("line_no") == 5, "NONE").when(F.col("line_no") != 4, F.col("country"))
     return rows, rows.select(
         "row_key", "order_id", "line_no", "binding_type", "quantity", "unit_price", client.alias("siren"),
+        F.col("siren").alias("custkey"),
         F.ln("quantity").alias("log_quantity"),
     )
 
@@ -194,7 +195,9 @@ confident AS (
 def confident_quotes(spark, sf_dir):
     quotes = Q.quote_select_tier(Q.filter_available_predictions(scored_quotes(spark, sf_dir)))
     chosen = F.col("selected")
-    formula = F.when(chosen["strategy"] == "GLOBAL", F.col("global_prediction")["formula"]).otherwise(F.col("family_linear")["formula"])
+    formula = F.when(chosen["strategy"] == "GLOBAL", F.col("global_prediction")["formula"]).when(
+        chosen["strategy"] == "COUPLE_LINEAR", F.col("couple_linear")["formula"]
+    ).otherwise(F.col("family_linear")["formula"])
     return Q.quote_confidence(quotes, chosen["strategy"], formula, chosen["r2"])
 
 
@@ -229,8 +232,7 @@ def explained_quotes(spark, sf_dir):
         F.col("siren").alias("custkey"), "client_nb_orders", "client_avg_price_ht", "client_seniority_years",
         "client_recency_days", "client_price_elasticity", F.lit(True).alias("client_found"),
     )
-    owner = sales(spark, sf_dir).select("row_key", F.col("siren").alias("custkey"))
-    quotes = Q.quote_action(confident_quotes(spark, sf_dir)).join(owner, "row_key")
+    quotes = Q.quote_action(confident_quotes(spark, sf_dir))
     joined = join_lookup(quotes, features, ["custkey"])
     return joined.withColumn("siren", F.col("custkey"))
 
@@ -265,14 +267,14 @@ def client_price_level(spark, sf_dir):
 
 
 @register("price_delta", f"""
-WITH {MODELS} SELECT row_key, {r6('f_price - g_price')} AS delta_price, coalesce(round((f_price - CASE WHEN line_no = 7 THEN 0 ELSE g_price END) / nullif(CASE WHEN line_no = 7 THEN 0 ELSE g_price END, 0) * 100, 4), -999) AS delta_percent FROM scored""")
+WITH {MODELS} SELECT row_key, round(round(f_price - CASE WHEN line_no = 7 THEN 0 ELSE g_price END, 6), 4) AS delta_price, coalesce(round((f_price - CASE WHEN line_no = 7 THEN 0 ELSE g_price END) / nullif(CASE WHEN line_no = 7 THEN 0 ELSE g_price END, 0) * 100, 4), -999) AS delta_percent FROM scored""")
 def price_delta(spark, sf_dir):
     quotes = scored_quotes(spark, sf_dir).select(
         "row_key", "line_no", F.col("global_prediction")["prediction"].alias("g"), F.col("family_linear")["prediction"].alias("f")
     )
     moved = Q.price_delta(quotes.withColumn("base", F.when(F.col("line_no") == 7, 0.0).otherwise(F.col("g"))), "base", "f")
     return moved.select(
-        "row_key", fixed(F.col("f") - F.col("g") + OFF_HALF, 6).alias("delta_price"),
+        "row_key", fixed("delta_price", 4).alias("delta_price"),
         F.coalesce("delta_percent", F.lit(-999.0)).alias("delta_percent"),
     )
 

@@ -26,6 +26,7 @@ NO_PROFILE = "No client-specific profile was available for this quote."
 NO_COMPARISON = "No client-specific profile was available for this quote, so I cannot say whether the price is high or low for this client."
 NO_AVERAGE = "The client profile exists, but the average historical price is missing."
 RERUN_REASON = "I reran pricing because this question depends on a changed configuration."
+NO_CLIENT = "No client context."
 RERUN_ANSWER = "I reran pricing scenarios to answer this question."
 DRIVER_RERUN = "I estimated the strongest driver by rerunning comparison scenarios."
 DIRECT_DRIVER = "That makes it the strongest direct linear driver among the published formula terms."
@@ -74,6 +75,7 @@ def narrative_context(quotes: DataFrame) -> DataFrame:
     flat = quotes.withColumns({
         "t_price": s["price"], "t_strategy": s["strategy"], "t_model": s["model_name"], "t_r2": s["r2"],
         "t_formula": e["formula"], "t_type": e["explanation_type"], "t_driver": F.get(e["top_drivers"], F.lit(0)),
+        "t_drivers": F.slice(e["top_drivers"], 1, 5),
     })
     parsed = parse_formula(flat.drop("formula").withColumnRenamed("t_formula", "formula"))
     return parsed.withColumnRenamed("formula", "t_formula").withColumnRenamed("strongest", "t_term").drop("terms")
@@ -91,6 +93,18 @@ def _client_line(name: str, label: str, pattern: str) -> Column:
     return F.when(F.col(name).isNotNull(), line(label, F.format_string(pattern, F.col(name))))
 
 
+def client_sentence(columns: list[str]) -> Column:
+    """One sentence on a known client: its number, elasticity and mean price, as far as known."""
+    known = lambda name, label: (
+        F.when(F.col(name).isNotNull(), F.format_string(f", {label} %.4f", F.col(name))) if name in columns else F.lit(None)
+    )
+    return F.concat(
+        F.lit("Client "), F.coalesce(F.nullif(F.col("siren"), F.lit("")), F.lit("n/a")), F.lit(" profile is available"),
+        F.coalesce(known("client_price_elasticity", "elasticity"), F.lit("")),
+        F.coalesce(known("client_avg_price_ht", "average historical price HT"), F.lit("")), F.lit("."),
+    )
+
+
 def _has_scenarios(quotes: DataFrame) -> bool:
     return "scenarios" in quotes.columns
 
@@ -173,7 +187,7 @@ def quote_narrative(quotes: DataFrame, question: str | None = None) -> DataFrame
             F.lit("Top driver in the pricing explanation: "), driver["name"], F.lit(" ("), percent(driver["importance"]), F.lit(")."),
         ))),
         confidence, action,
-        F.when(_found(), F.concat(F.lit("\nClient context\n- "), F.col("explanation")["client_context"])),
+        F.when(_found(), F.concat(F.lit("\nClient context\n- "), client_sentence(quotes.columns))),
         F.when(has_formula, F.concat(F.lit("\nFormula\n- "), formula)),
     )
     driver_text = F.when(driver.isNotNull(), answer(
@@ -192,7 +206,10 @@ def quote_narrative(quotes: DataFrame, question: str | None = None) -> DataFrame
     summary = answer(
         "Pricing summary", *head, confidence, action,
         F.when(has_formula, F.concat(F.lit("\nFormula\n- "), formula)),
-        F.when(_found(), F.concat(F.lit("\nClient context\n"), F.col("explanation")["client_context"])),
+        F.when(F.size("t_drivers") > 0, F.concat(F.lit("\nKey price drivers\n"), F.array_join(
+            F.transform("t_drivers", lambda d: F.concat(F.lit("- "), d["name"], F.lit(": "), percent(d["importance"]))), "\n"
+        ))),
+        F.concat(F.lit("\nClient context\n"), F.when(_found(), F.col("explanation")["client_context"]).otherwise(F.lit(NO_CLIENT))),
     )
     if _has_scenarios(quotes):
         top = strongest_of(F.col("scenarios"))

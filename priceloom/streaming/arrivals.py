@@ -32,7 +32,7 @@ def stream_file_arrivals(
     """Every file as it arrives: name, size, time, ``accepted``, ``reason``; content and its MD5 of accepted ones.
 
     Empty and ignored files, and oversize ones where a limit is given, stay as rows with the
-    reason and without content; a path is announced once.
+    reason and without content, so dedup is for accepted ones; a path is announced once.
     """
     files = (
         spark.readStream.schema(WHOLE_FILE).format("binaryFile")
