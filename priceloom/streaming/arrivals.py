@@ -31,8 +31,9 @@ def stream_file_arrivals(
 ) -> DataFrame:
     """Every file as it arrives: name, size, time, ``accepted``, ``reason``; content and its MD5 of accepted ones.
 
-    Empty and ignored files, and oversize ones where a limit is given, stay as rows with the
+    Ignored files, and oversize ones where a limit is given, stay as rows with the
     reason and without content, so dedup is for accepted ones; a path is announced once.
+    Spark's file source announces no file of length 0.
     """
     files = (
         spark.readStream.schema(WHOLE_FILE).format("binaryFile")
@@ -41,7 +42,7 @@ def stream_file_arrivals(
         .load(folder)
     )
     name = F.element_at(F.split("path", "/"), -1)
-    reason = F.when(name.isin(list(ignored)), "ignored").when(F.col("length") == 0, "empty")
+    reason = F.when(name.isin(list(ignored)), "ignored")
     if max_file_mb is not None:
         reason = reason.when(F.col("length") > max_file_mb * 1024 * 1024, "oversize")
     content = F.when(F.col("reason").isNull(), F.col("content"))

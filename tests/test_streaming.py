@@ -31,13 +31,12 @@ def test_rejected_files_stay_as_rows(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "fine.sql").write_text("SELECT 1;")
-    (folder / "empty.sql").write_text("")
     (folder / "current_source.sql").write_text("SELECT 1;")
     (folder / "large.sql").write_text("x" * (2 << 20))
     stream = A.stream_file_arrivals(spark, str(folder), max_file_mb=1)
     seen = {r["file_name"]: r for r in drain(stream, tmp_path).collect()}
-    assert {n: r["reason"] for n, r in seen.items()} == {"fine.sql": None, "empty.sql": "empty", "current_source.sql": "ignored", "large.sql": "oversize"}
-    assert {n: r["content"] is not None for n, r in seen.items()} == {"fine.sql": True, "empty.sql": False, "current_source.sql": False, "large.sql": False}
+    assert {n: r["reason"] for n, r in seen.items()} == {"fine.sql": None, "current_source.sql": "ignored", "large.sql": "oversize"}
+    assert {n: r["content"] is not None for n, r in seen.items()} == {"fine.sql": True, "current_source.sql": False, "large.sql": False}
 
 
 def test_refresh_and_ledger(spark, tmp_path):
