@@ -44,10 +44,26 @@ def scan_validated(spark, sf_dir):
 
 @register("scan_relations", """
 SELECT 'production_parts' AS relation, count(*) AS n_rows FROM lineitem
-UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'clients', count(*) FROM customer
-UNION ALL SELECT 'part_coils', count(*) FROM part""")
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'clients', count(*) FROM customer
+UNION ALL SELECT 'kits', count(*) FROM conversations
+UNION ALL SELECT 'part_coils', count(*) FROM part
+UNION ALL SELECT 'part_covers', count(*) FROM supplier
+UNION ALL SELECT 'part_tabs', count(*) FROM nation
+UNION ALL SELECT 'part_inserts', count(*) FROM region
+UNION ALL SELECT 'part_covers_cases', count(*) FROM events""")
 def scan_relations(spark, sf_dir):
-    names = {"production_parts": "lineitem", "orders": "orders", "clients": "customer", "part_coils": "part"}
+    names = {
+        "production_parts": "lineitem",
+        "orders": "orders",
+        "clients": "customer",
+        "kits": "conversations",
+        "part_coils": "part",
+        "part_covers": "supplier",
+        "part_tabs": "nation",
+        "part_inserts": "region",
+        "part_covers_cases": "events",
+    }
     found = R.scan_relations(spark, {k: f"{sf_dir}/{v}.parquet" for k, v in names.items()})
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("relation"), "n_rows")
@@ -150,6 +166,21 @@ def file_fingerprint(spark, sf_dir):
     return K.table_fingerprint(table(spark, sf_dir, "orders"), columns)
 
 
+@register("file_fingerprints", """
+SELECT o_orderpriority AS priority, md5(string_agg(o_orderkey || '|' || o_orderstatus || chr(10), '' ORDER BY o_orderkey)) AS content_md5,
+       CAST(sum(length(o_orderkey || '|' || o_orderstatus) + 1) AS BIGINT) AS "length"
+FROM orders GROUP BY 1""")
+def file_fingerprints(spark, sf_dir):
+    """One file per priority, in the order of the keys; its fingerprint covers the whole content."""
+    path = fresh_path(spark, "files")
+    orders = table(spark, sf_dir, "orders").repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    line = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")
+    orders.select("o_orderpriority", line.alias("line")).write.partitionBy("o_orderpriority").text(path)
+    found = K.file_fingerprints(spark, path)
+    priority = F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]*)", 1))
+    return found.where(F.endswith("path", F.lit(".txt"))).select(priority.alias("priority"), "content_md5", "length")
+
+
 AUDIT_RULES = {**S.FORBIDDEN_PATTERNS, r"\blicen[sc]e\b": "license line", r"\bpassword\b": "secret"}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from priceloom import schema as S
 from priceloom.functions import values as V
 from priceloom.functions.distribution import melted_counts, quantiles
-from priceloom.functions.scale import join_lookup
+from priceloom.functions.scale import join_lookup, settle
 from priceloom.operators.consolidate import string_columns
 from priceloom.sources.readers import require_columns
 
@@ -207,7 +207,8 @@ def fill_final(df: DataFrame, dates: Sequence[str] = tuple(S.DATE_COLUMNS)) -> D
 
 def full_cleaning(df: DataFrame, null_tokens: Sequence[str] | None = None) -> DataFrame:
     """All cleaning steps in order."""
-    rows = drop_constant_columns(distinct_rows(initial_cleaning(df, null_tokens)))
+    # repeated rows change no minimum, maximum or null count, so constants are looked for before the shuffle
+    rows = settle(distinct_rows(drop_constant_columns(initial_cleaning(df, null_tokens))), "distinct")
     rows = clean_dates(map_values(str_trim_upper(rows)))
     if {"binding_type", "cover_size"} <= set(rows.columns):
         rows = mode_impute_in_group(rows)
