@@ -492,7 +492,7 @@ def lm_counts(rows):
     return split
 
 
-@pytest.mark.parametrize("bucket_tokens", [2_000_000, 3000])
+@pytest.mark.parametrize("bucket_tokens", [1_500_000, 3000])
 def test_language_model(spark, docs, nothing, monkeypatch, bucket_tokens):
     monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket_tokens)
     got = pitman_yor.score_texts(docs).toPandas()
