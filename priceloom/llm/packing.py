@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from priceloom.functions.scale import settle
 from priceloom.llm.common import bounded_batches, rank_within, table, text_of
+from priceloom.llm.tokens import remembered
 
 CAPACITY = 2048
 END_ID = 0
@@ -30,7 +31,6 @@ MEMORY_WORDS = 400_000
 TOGETHER_BYTES = 8 << 20
 # Marks that the tokenizer always parts from a letter or digit before them.
 _MARKS = b".,!"
-_known: dict[str, list[dict[bytes, bytes]]] = {}
 
 
 def _tokenizer(path: str):
@@ -74,12 +74,11 @@ def encoded(texts: list[bytes], path: str, tokenizer) -> list[bytes]:
     only; whatever else the tokenizer treats as space stays inside a word. Texts
     that may spell a special token keep their case.
     """
-    words, old_words, stems, old_stems = _known.pop(path, [{}, {}, {}, {}])
-    if len(words) > MEMORY_WORDS:
-        words, old_words = {}, words
-    if len(stems) > MEMORY_WORDS:
-        stems, old_stems = {}, stems
-    _known[path] = [words, old_words, stems, old_stems]
+    memory = remembered(f"ids of {path}", lambda: [{}, {}, {}, {}])
+    for now in (0, 2):
+        if len(memory[now]) > MEMORY_WORDS:
+            memory[now], memory[now + 1] = {}, memory[now]
+    words, old_words, stems, old_stems = memory
     split = [(t if b"<|" in t else t.lower()).split() for t in texts]
     new = {w: _stem(w) for w in _recall(words, old_words, set().union(*split))}
     parts = set(new.values())

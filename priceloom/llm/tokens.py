@@ -7,10 +7,18 @@ from itertools import chain
 import numpy as np
 
 MEMORY_WORDS = 400_000
-_known: dict[bytes, int] = {}
+_held: dict[str, object] = {}
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def remembered(owner: str, make):
+    """What a Python worker remembers for ``owner``; another operator's memory goes when the owner changes."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -29,12 +37,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
     split = [t.lower().split() for t in texts]
-    if len(_known) > MEMORY_WORDS:
-        _known.clear()
-    for w in set().union(*split).difference(_known):
-        _known[w] = xxhash.xxh64_intdigest(w)
+    known = remembered("words", dict)
+    if len(known) > MEMORY_WORDS:
+        known.clear()
+    for w in set().union(*split).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
     counts = np.array([len(s) for s in split], dtype=np.int64)
-    flat = np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(counts.sum()))
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(counts.sum()))
     return flat, counts
 
 
