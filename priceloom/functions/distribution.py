@@ -119,14 +119,19 @@ def nth_values_unique(rows: DataFrame, by: Sequence[str], ranks: Column) -> Data
     return _rank_values(merged, by)
 
 
-def quantiles(counts: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group: ``by..., total, <name of each prob>``."""
+def _positions(probs: dict[str, float]) -> tuple[dict[str, Column], Column]:
+    """Fractional position of every quantile, and the ranks on both sides of each."""
     position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = []
     for k, name in enumerate(probs):
         for side, rank in enumerate((F.floor(position[name]), F.ceil(position[name]))):
             wanted.append(F.struct(F.lit(2 * k + side).alias("i"), rank.cast("bigint").alias("rank")))
-    found = nth_values(counts, by, F.array(*wanted))
+    return position, F.array(*wanted)
+
+
+def _interpolated(found: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles from the values at their ranks."""
+    position, _ = _positions(probs)
     columns = [F.max("total").alias("total")]
     for k in range(len(probs)):
         columns.append(F.max(F.when(F.col("i") == 2 * k, F.col("value"))).alias(f"_lo{k}"))
@@ -139,13 +144,25 @@ def quantiles(counts: DataFrame, by: Sequence[str], probs: dict[str, float]) ->
     return rows.select(*out)
 
 
+def quantiles(counts: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group: ``by..., total, <name of each prob>``."""
+    return _interpolated(nth_values(counts, by, _positions(probs)[1]), by, probs)
+
+
 def overall(df: DataFrame) -> DataFrame:
     """Give a frame the one-group key that ungrouped quantiles need."""
     return df.withColumn("_all", F.lit(1).cast(T.IntegerType()))
 
 
 def quantiles_of(df: DataFrame, by: Sequence[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
-    """``value_counts`` followed by ``quantiles``; ``by`` may be empty."""
-    if by:
-        return quantiles(value_counts(df, by, value), by, probs)
-    return quantiles(value_counts(overall(df), ["_all"], value), ["_all"], probs).drop("_all")
+    """Quantiles straight from the rows; ``by`` may be empty.
+
+    The rows are counted per slot, which is combined where they are read, and read again
+    for the slots with a wanted rank; the values themselves are never shuffled as a whole.
+    """
+    keys = list(by) or ["_all"]
+    column = F.col(value) if isinstance(value, str) else value
+    rows = (df if by else overall(df)).select(*keys, column.cast("double").alias("value"))
+    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    found = _interpolated(nth_values_unique(rows, keys, _positions(probs)[1]), keys, probs)
+    return found if by else found.drop("_all")
