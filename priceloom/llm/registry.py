@@ -24,4 +24,5 @@ CHECKS: dict[str, str] = {
     "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op2_collinear_chaining": substrings.op2_collinear_chaining,
     "op3_seekable_warc": warc.ORACLE,
+    "op7_uniform_threshold": topk.ORACLE,
 }
