@@ -85,6 +85,14 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Bound the bytes of a batch sent to Python, so that very long texts do not pile up; a set bound is kept."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
