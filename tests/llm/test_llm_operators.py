@@ -434,6 +434,52 @@ def test_repeated_passages(spark, tmp_path, nothing):
     assert substrings.passages(nothing).count() == 0
 
 
+def test_two_passages_at_any_gap_are_found(spark, tmp_path):
+    """Pairs of documents that share two passages with other words between: one piece while it is similar enough, else both."""
+    rng = np.random.default_rng(12)
+    other = iter(f"u{i}" for i in range(1_000_000))
+    rows, shared = [], {}
+    for gap in range(5, 160, 6):
+        one, two = ([next(other) for _ in range(n)] for n in (60, 60))
+        for side in (0, 1):
+            filler = [[next(other) for _ in range(n)] for n in (30, gap, 30)]
+            rows.append((2 * gap + side, " ".join(filler[0] + one + filler[1] + two + filler[2])))
+        shared[2 * gap + 1] = (one + filler[1] + two, gap)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {}
+    for r in substrings.passages(spark.read.parquet(path)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["source_id"], r["source_start"], r["source_end"]))
+    texts = {i: t.split() for i, t in rows}
+    for i, (_, gap) in shared.items():
+        joined = 1 - brute_distance(texts[i][30:150 + gap], texts[i - 1][30:150 + gap]) / (120 + gap)
+        want = [(30, 150 + gap)] if joined >= substrings.IDENTITY else [(30, 90), (90 + gap, 150 + gap)]
+        assert sorted(got[i]) == [(a, b, i - 1, a, b) for a, b in want], gap
+    assert set(got) == set(shared)
+
+
+def test_pieces_of_a_chain_meet_brute_force():
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        a, b, xs, ns, ys = [], [], [], [], []
+        for _ in range(int(rng.integers(1, 6))):
+            for t in (a, b):
+                t += rng.integers(1000, 1 << 40, int(rng.integers(0, 25))).tolist()
+            n = int(rng.integers(6, 40))
+            xs.append(len(a)), ns.append(n), ys.append(len(b))
+            run = rng.integers(1000, 1 << 40, n).tolist()
+            a, b = a + run, b + run
+        got = substrings.align(np.array(a, np.uint64), np.array(b, np.uint64), xs, ns, ys)
+        similar = []
+        for i in range(len(xs)):
+            for j in range(i, len(xs)):
+                p, q = a[xs[i]:xs[j] + ns[j]], b[ys[i]:ys[j] + ns[j]]
+                if brute_distance(p, q) <= 0.2 * max(len(p), len(q)):
+                    similar.append((i, j))
+        want = [(i, j) for i, j in similar if not any((p, q) != (i, j) and p <= i and j <= q for p, q in similar)]
+        assert [g[:4] for g in got] == [(xs[i], xs[j] + ns[j], ys[i], ys[j] + ns[j]) for i, j in want]
+
+
 def test_cut_words_keeps_the_rest():
     text = "  a b\tc\nd  e".encode()
     assert substrings.cut_words(text, [(1, 3)]) == b"  a d  e"
