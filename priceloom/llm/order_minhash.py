@@ -3,8 +3,9 @@
 A sketch takes the ``PICKS`` smallest of a text's word k-mers, each labelled with its
 occurrence, under one hash order and keeps them in the order of the text. Texts
 with small edit distance share many sketches; shuffled texts do not. Texts that share a sketch
-are aligned with the leader of their bucket, so a bucket of any size gives no more pairs than it
-has texts, and texts that do not match it go on to further rounds.
+are aligned with the leader of their bucket, so a bucket of like texts gives no more pairs than it
+has texts. Where this leaves a bucket in several classes, all its pairs across classes meet: word counts in bins
+rule out most, the others are aligned.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import settle
-from priceloom.llm.common import bounded_batches, table, text_of
+from priceloom.llm.common import bounded_batches, parallelism, table, text_of
 from priceloom.llm.graph import components
 from priceloom.llm.tokens import C1, edit_distance, kmers, mix, together, word_hashes
 
-K = 5
-SKETCHES = 16
+# At edit similarity 0.8 half of the 3-mers are kept, so that 48 sketches of two miss a pair with a chance of about 0.003.
+K = 3
+SKETCHES = 48
 PICKS = 2
+# Bins of the word counts, and texts of a bucket that meet in one tile.
+BINS = 256
+TILE = 1024
 #: Edit similarity from which two texts are linked: 1 - word edits / words of the longer one.
 SIMILARITY = 0.8
 _PLACE_BITS = np.uint64(24)
@@ -83,9 +88,73 @@ def sketches(words: np.ndarray, counts: np.ndarray, k: int = K, number: int = SK
     return out
 
 
+def word_bins(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many words of every text fall in each bin of their hash, at most 255 (texts x bins)."""
+    cell = np.repeat(np.arange(len(counts)) * BINS, counts) + (words >> np.uint64(20)).astype(np.int64) % BINS
+    return np.minimum(np.bincount(cell, minlength=len(counts) * BINS), 255).astype(np.uint8).reshape(len(counts), BINS)
+
+
+def may_match(bins: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the ``others`` may be similar enough to text i: each word that one text has more of in a bin is an edit."""
+    limit = np.floor((1 - similarity) * np.maximum(sizes[i], sizes[others]) + 1e-9)
+    others = others[np.abs(sizes[others] - sizes[i]) <= limit]
+    limit = np.floor((1 - similarity) * np.maximum(sizes[i], sizes[others]) + 1e-9)
+    apart = bins[others].astype(np.int16) - bins[i]
+    more = np.maximum(apart, 0).sum(axis=1)
+    return others[np.maximum(more, more - apart.sum(axis=1)) <= limit]
+
+
+def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b; a > b) of ``members`` (a, s, bucket, root) in one bucket, with different roots, that may match.
+
+    A bucket is cut into blocks; every two blocks meet in a tile of their own, so a bucket of any size is no hot task.
+    """
+    sizes = members.groupBy("s", "bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # of two texts, one is the leader that the other has met
+    open_ = settle(sizes.where("lo <> hi and n > 2").select("s", "bucket", "blocks"), "open-buckets")
+    block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
+    tiled = members.join(open_, ["s", "bucket"]).join(profile, F.col("a") == F.col("_a")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("s", "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "root", "words", "bins")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def of(tile, block, a, root, words, bins):
+        bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+        edges = np.append(np.nonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(axis=1)]))[0], len(a))
+        out = []
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            one = tile[s, 2] == tile[s, 3]
+            for i in range(s, e):
+                others = np.arange(i + 1, e)
+                others = others[(root[others] != root[i]) & (True if one else block[others] != block[i])]
+                if len(others):
+                    others = may_match(bins, words, i, others, similarity)
+                    out.append(np.stack([np.maximum(a[i], a[others]), np.minimum(a[i], a[others])]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            ints = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(8)], axis=1)
+            bins = batch.column(8).to_pylist()
+            if held is not None:
+                ints, bins = np.concatenate([held[0], ints]), held[1] + bins
+            # the last tile may go on in the next batch
+            whole = int(np.argmax((ints[:, :4] == ints[-1:, :4]).all(axis=1))) if len(ints) else 0
+            if whole:
+                yield of(ints[:whole, :4], *ints[:whole, 4:].T, bins[:whole])
+            held = ints[whole:], bins[whole:]
+        if held is not None and len(held[0]):
+            yield of(held[0][:, :4], *held[0][:, 4:].T, held[1])
+
+    key = ["s", "bucket", "i", "j"]
+    return tiled.repartition(parallelism(members.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+
+
 def _sketch_rows(docs: DataFrame) -> DataFrame:
-    """Per row: _row, doc_id, key1, key2 (hash of all words), sigs."""
-    schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    """Per row: _row, doc_id, key1, key2 (hash of all words), sigs, words (number), bins."""
+    schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("sigs", pa.list_(pa.int64())),
+                        ("words", pa.int64()), ("bins", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -99,12 +168,14 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
                 raw = [words[e - c:e].tobytes() for e, c in zip(ends, counts)]
                 keys = np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], dtype=np.uint64).view(np.int64).reshape(-1, 2)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, sigs.shape[1]), pa.int32()), pa.array(sigs.ravel()))
+                bins = [b.tobytes() for b in word_bins(words, counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], batch.column(1)[part], pa.array(keys[:, 0]), pa.array(keys[:, 1]), flat], schema=schema
+                    [batch.column(0)[part], batch.column(1)[part], pa.array(keys[:, 0]), pa.array(keys[:, 1]), flat, pa.array(counts), pa.array(bins, type=pa.binary())],
+                    schema=schema,
                 )
 
     return docs.select("_row", F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
-        run, "_row long, doc_id long, key1 long, key2 long, sigs array<long>"
+        run, "_row long, doc_id long, key1 long, key2 long, sigs array<long>, words long, bins binary"
     )
 
 
@@ -126,6 +197,12 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_row long, words binary")
 
 
+def _pair_words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Hashed words of all texts in the ``pairs`` (a, b), written."""
+    needed = settle(pairs.select("a").union(pairs.select("b")).distinct(), "needed")
+    return settle(_words_of(docs, needed), "pair-words")
+
+
 def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) with ``ok``: whether their alignment is similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
@@ -148,10 +225,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, and _row, _root (row numbers).
 
     ``docs`` (doc_id, text) must be a table read. Texts with equal words are one class; different texts are linked
-    if they share a sketch with a leader of a bucket and their edit similarity is at least
-    ``similarity``; classes are the connected components. The leader of a bucket is its first text
-    in the order of a hash; texts unlike it meet new leaders in the next round, in buckets that share twice as many
-    sketches, until a bucket shares all of them or none holds two texts.
+    if they share a sketch and their edit similarity is at least
+    ``similarity``; classes are the connected components. All texts of a bucket meet its leader, its first text
+    in the order of a hash, and then all texts of the bucket that are not yet in their class.
     Null and blank texts are one class; repeated rows are copies; null ids are the smallest; other columns are not read.
     """
     spark = docs.sparkSession
@@ -159,44 +235,27 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     rows = settle(_sketch_rows(numbered), "order-sketches")
     texts = settle(
-        rows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "_row", "sigs")).alias("r")).select(
-            "key1", "key2", F.col("r._row").alias("a"), F.col("r.sigs").alias("sigs")
+        rows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "_row", "sigs", "words", "bins")).alias("r")).select(
+            "key1", "key2", F.col("r._row").alias("a"), "r.sigs", "r.words", "r.bins"
         ),
         "distinct-texts",
     )
-    number = F.size("sigs")
-    waiting = texts.where(F.element_at("sigs", 1) != 0).select("a", "sigs", F.posexplode("sigs").alias("s", "bucket"))
-    words, links, tried, turn = None, None, None, 0
-    while True:
-        # one order of texts for all buckets of a round, so that a group has few leaders
-        lead = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a")
-        buckets = waiting.groupBy("s", "bucket").agg(F.min(lead).alias("x"), F.max(lead).alias("y")).where("x <> y")
-        near = settle(
-            waiting.join(buckets.select("s", "bucket", F.col("x.a").alias("b")), ["s", "bucket"]).where("a <> b"), "bucket-pairs"
-        )
-        pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        if near.limit(1).count() == 0:
-            break
-        needed = pairs.select("a").union(pairs.select("b")).distinct()
-        if words is not None:
-            needed = needed.join(words.select(F.col("_row").alias("a")), "a", "left_anti")
-        more = settle(_words_of(numbered, settle(needed, "needed")), "pair-words")
-        words = more if words is None else words.union(more)
-        judged = settle(_similar(pairs, words, similarity), "judged")
-        tried = judged if tried is None else tried.union(judged)
-        if 1 << turn >= SKETCHES:
-            break
-        # who is unlike the leader meets others that are, in buckets that share more sketches: 1, 2, 4 and 8 further ones
-        unlike = tried.where("not ok").select(F.col("a").alias("p"), F.col("b").alias("q"))
-        left = near.join(unlike, (F.greatest("a", "b") == F.col("p")) & (F.least("a", "b") == F.col("q")), "left_semi")
-        further = [F.element_at("sigs", ((F.col("s") + o) % number + 1).cast("int")) for o in range(1 << turn, 2 << turn)]
-        turn += 1
-        waiting = settle(left.select("a", "sigs", "s", F.xxhash64("bucket", *further).alias("bucket")), "waiting")
-    links = spark.createDataFrame([], "u long, v long") if tried is None else tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(links)
+    waiting = texts.where(F.element_at("sigs", 1) != 0).select("a", F.posexplode("sigs").alias("s", "bucket"))
+    # one order of texts for all buckets, so that a group has few leaders
+    lead = F.struct(F.xxhash64("a", F.lit(0)).alias("h"), "a")
+    buckets = waiting.groupBy("s", "bucket").agg(F.min(lead).alias("x"), F.max(lead).alias("y")).where("x <> y")
+    shared = settle(waiting.join(buckets.select("s", "bucket", F.col("x.a").alias("b")), ["s", "bucket"]), "buckets")
+    pairs = settle(shared.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    words = _pair_words(numbered, pairs)
+    tried = settle(_similar(pairs, words, similarity), "judged")
+    links = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = settle(components(links), "roots")
+    # whoever is not yet in one class with all others of its bucket meets each of the other classes
+    profile = texts.select(F.col("a").alias("_a"), "words", "bins")
+    members = shared.select("a", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "s", "bucket", F.coalesce("root", "a").alias("root"))
+    more = settle(_tile_pairs(settle(members, "bucket-members"), profile, similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "further-pairs")
+    judged = settle(_similar(more, _pair_words(numbered, more), similarity), "further-judged")
+    roots = components(links.union(judged.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
     classes = texts.select("key1", "key2", "a").join(roots, F.col("a") == F.col("node"), "left").select(
         F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), F.coalesce("root", "a").alias("_set")
     )

@@ -372,6 +372,40 @@ def test_near_copies_meet_brute_force(spark, tmp_path):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_copies_of_hubs_and_boilerplate_meet_brute_force(spark, tmp_path, monkeypatch):
+    """Copies that are like an original but not like each other, and texts that share most of their words but stay apart."""
+    monkeypatch.setattr(order_minhash, "TILE", 16)
+    rng = np.random.default_rng(21)
+    new = iter(f"n{i}" for i in range(1_000_000))
+
+    def changed(text, share):
+        t = list(text)
+        for i in rng.choice(len(t), round(share * len(t)), replace=False):
+            t[i] = next(new)
+        return t
+
+    hub = [next(new) for _ in range(150)]
+    notice = [next(new) for _ in range(90)]
+    texts = [changed(hub, 0.12) for _ in range(60)] + [hub]
+    for _ in range(40):
+        own = notice + [next(new) for _ in range(40)]
+        texts += [own, changed(own, 0.17)] if rng.random() < 0.5 else [own]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(path)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_copies(spark.read.parquet(path)).collect()}
+    ids = {w: i for i, w in enumerate(sorted(set(sum(texts, []))))}
+    coded = [np.array([ids[w] for w in t], np.uint64) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            limit = int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)
+            if tokens.edit_distance(coded[i], coded[j], limit) <= limit:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(set(root[:61])) == 1
+    assert got == dict(enumerate(root))
+
+
 def test_shuffled_text_is_no_near_copy(spark, tmp_path):
     rng = np.random.default_rng(1)
     a = words(rng, 200)
