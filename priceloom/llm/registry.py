@@ -21,8 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_entropy_balancing": mixing.op10_entropy_balancing,
 }
 CHECKS: dict[str, str] = {
-    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
-    "op2_collinear_chaining": substrings.op2_collinear_chaining,
     "op3_seekable_warc": warc.ORACLE,
     "op7_uniform_threshold": topk.ORACLE,
 }

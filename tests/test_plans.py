@@ -23,6 +23,14 @@ def test_every_check_has_a_query():
     assert set(catalog.CHECKS) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 125
 
 
+def test_every_check_is_sql_text():
+    from __spark_entry__ import oracle_sql
+
+    found = oracle_sql()
+    assert {"op3_seekable_warc", "op7_uniform_threshold"} <= set(found)
+    assert [name for name, sql in found.items() if not isinstance(sql, str)] == []
+
+
 @needs_data
 @pytest.mark.parametrize("name", ["client_elasticity", "map_values", "scenario_expand", "build_feature_rows", "price_bounds_iqr", "quote_confidence"])
 def test_no_row_at_a_time_python(spark, name):
