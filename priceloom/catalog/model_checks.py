@@ -21,10 +21,9 @@ from priceloom.operators import scoring as T
 
 NUMBERS = ["quantity", "size", "retail", "discount", "line_no"]
 CATEGORIES = ["brand", "segment", "returnflag", "linestatus", "status", "priority_level"]
-# Sizes that let the registered tree queries finish on a small machine. The
-# library defaults are the full candidates.
+# Sizes that let the registered race finish on a small machine. The library
+# defaults are the full candidates.
 RACE = W.RaceSettings(forest_trees=10, depth=6, boost_rounds=5, boost_depth=3, folds=2)
-TREES = W.TreeSettings(forest_trees=10, boost_rounds=5)
 
 
 def training_rows(spark, sf_dir):
@@ -229,8 +228,7 @@ def group_nonlinear_models(spark, sf_dir):
     limits = B.clip_limits(rows, "binding_type", rule="nonlinear").join(
         bounds.select(F.col("family").alias("binding_type"), F.col("min").alias("bound_min"), F.col("max").alias("bound_max")), "binding_type"
     )
-    names = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").collect()]
-    results, _ = W.group_nonlinear_models(rows, "binding_type", "row_key", limits, names, NUMBERS, CATEGORIES, settings=TREES)
+    results = W.group_nonlinear_models(rows, "binding_type", "row_key", limits, NUMBERS, CATEGORIES).results
     return results.withColumn("issues", F.array_join("issues", ";"))
 
 

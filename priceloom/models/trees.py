@@ -1,9 +1,8 @@
-"""Feature pipelines, tree models per group and the global race, on Spark ML."""
+"""Feature pipelines and the global race on Spark ML; tree models of groups on the histogram engine."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import join_lookup, settle
+from priceloom.models import histogram_trees as H
 from priceloom.operators import quality as Q
 from priceloom.operators import ranking as R
 
@@ -179,79 +179,92 @@ def feature_importance(model: Model, names: Sequence[str], df: DataFrame) -> Dat
 # --- tree models per group --------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class TreeSettings:
-    """Strongly regularised ensembles; the defaults are the full ones."""
+@dataclass
+class GroupTrees:
+    """Tree tier of one level: all candidates with their test metrics, and the best accepted model of every group."""
 
-    forest_trees: int = 50
-    forest_depth: int = 3
-    boost_rounds: int = 80
-    boost_depth: int = 2
-    parallel: int = 4
+    results: DataFrame
+    best: DataFrame
+    candidates: DataFrame
 
 
-def tree_candidates(s: TreeSettings) -> dict:
-    common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "log_prediction", "minInstancesPerNode": 20, "seed": SEED}
-    return {
-        "RandomForest_Regularized": RandomForestRegressor(
-            **common, numTrees=s.forest_trees, maxDepth=s.forest_depth, featureSubsetStrategy="0.2"
-        ),
-        "GradientBoosting_Regularized": GBTRegressor(
-            **common, maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=0.001, subsamplingRate=0.4,
-            featureSubsetStrategy="0.2",
-        ),
-    }
+@dataclass
+class Prepared:
+    """Rows (``_group``, key, features, ``y``, ``part``), design and bounds of the groups of one level."""
 
+    rows: DataFrame
+    design: DataFrame
+    bounds: DataFrame
 
-def group_nonlinear_models(
-    df: DataFrame,
-    group: str,
-    key: str,
-    limits: DataFrame,
-    groups: Sequence[str],
-    numbers: Sequence[str],
-    categories: Sequence[str],
-    price: str = "unit_price",
-    settings: TreeSettings = TreeSettings(),
-) -> tuple[DataFrame, dict[tuple[str, str], Model]]:
-    """Tree ensembles for the named groups: fit on 80 %, screened and measured on 20 %.
 
-    Features are encoded once for all rows and written; each group is a filtered
-    read of that table. Every group of the list given by the caller is fitted.
-    """
-    from priceloom.models.linear import with_limits
+def prepare_groups(
+    df: DataFrame, group: str, key: str, limits: DataFrame, numbers: Sequence[str], categories: Sequence[str],
+    price: str = "unit_price", min_rows: int = 50, min_numeric: int = 15, level: str = "",
+) -> Prepared:
+    """Clipped log prices, 80 % train and 20 % test; centres and levels come from the training part alone."""
+    from priceloom.models.linear import design_table, nan_as_null, with_limits
 
-    rows = with_limits(df.where(F.col(group).isin(list(groups))), group, limits, price)
-    coded, _ = feature_pipeline_standard(R.stratified_split(rows, group, key, 0.2), numbers, categories, 1)
-    path = settle(
-        coded.select(
-            F.col(group).alias("_group"), "features", F.log1p("price_clipped").alias("y"), "part", "bound_min", "bound_max"
-        ),
-        "group-features",
+    named = F.concat(F.lit(level), F.col(group).cast("string")).alias("_group")
+    clipped = with_limits(nan_as_null(df, numbers).where(F.col(group).isNotNull()), group, limits, price)
+    narrow = settle(clipped.select(named, F.col(key).cast("string").alias("_key"), *numbers, *categories, F.log1p("price_clipped").alias("y")), "clipped")
+    rows = settle(R.stratified_split(narrow, "_group", "_key", 0.2), "split")
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows)
+    design = design_table(rows.where(F.col("part") == "train"), "_group", numbers, categories, min_numeric).where(F.col("n_features") >= 3)
+    return Prepared(
+        rows, settle(design.join(sizes, "_group", "left_semi"), "design"), settle(limits.select(named, "bound_min", "bound_max"), "bounds")
+    )
+
+
+def _together(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def grow_levels(
+    levels: Mapping[str, tuple[str, Prepared]], numbers: Sequence[str], categories: Sequence[str],
+    candidates: Sequence[H.TreeCandidate] = H.CANDIDATES,
+) -> dict[str, GroupTrees]:
+    """Tree ensembles of all groups of all levels, grown in the same passes.
+
+    ``levels`` maps the prefix of a level's groups to the name of its group column and its rows. The best accepted
+    candidate by R2 on the price scale is the model of its group.
+    """
+    prepared = [p for _, p in levels.values()]
+    grown = H.grow(
+        _together([p.rows for p in prepared]), _together([p.design for p in prepared]), "_group", "_key", numbers, categories, candidates
     )
+    names = F.array(*[F.lit(c.name) for c in candidates])
+    flat = H.predictions(grown).withColumns({
+        "model_name": F.get(names, F.col("candidate_order")), "actual": F.expm1("y"), "predicted": F.expm1("log_prediction"),
+    })
+    bounds = _together([p.bounds for p in prepared])
+    measured = settle(join_lookup(flat.drop("y", "log_prediction"), bounds, ["_group"], "inner"), "tree-predictions")
+    by = ["_group", "model_name", "candidate_order"]
+    test, floor = measured.where(F.col("part") == "test"), F.greatest("predicted", F.lit(0.0))
+    screened = Q.prediction_screen(test, by)
+    errors = Q.regression_metrics(test.withColumn("predicted", floor), by).drop("n", "r2", "rmse", "predicted_mean", "actual_mean")
+    fitted = Q.regression_metrics(measured.where(F.col("part") == "train").withColumn("predicted", floor), by).select(
+        *by, F.col("n").alias("n_train"), F.col("r2").alias("r2_train")
+    )
+    results = settle(screened.join(errors, by).join(fitted, by), "group-tree-results")
+    models = settle(H.tree_models(grown), "tree-models")
+    accepted = results.where(F.col("status") == "accepted").select(*by, "n", "n_train", "r2", "r2_train", "rmse", "mae")
+    first = R.best_model_per_group(accepted, ["_group"], "nonlinear")
+    best = settle(first.join(models.drop("model_name"), ["_group", "candidate_order"]), "best-trees")
+
+    def of(df: DataFrame, prefix: str, group: str) -> DataFrame:
+        mine = df.where(F.startswith("_group", F.lit(prefix)))
+        return mine.withColumn("_group", F.substring("_group", len(prefix) + 1, 1 << 30)).withColumnRenamed("_group", group)
 
-    def fit(task: tuple[str, str]) -> tuple[tuple[str, str], Model]:
-        name, candidate = task
-        rows_of = path.where((F.col("_group") == name) & (F.col("part") == "train"))
-        return task, tree_candidates(settings)[candidate].fit(rows_of)
-
-    tasks = [(g, c) for g in groups for c in tree_candidates(settings)]
-    with ThreadPoolExecutor(max_workers=settings.parallel) as pool:
-        models = dict(pool.map(fit, tasks))
-    tested = None
-    for (name, candidate), model in models.items():
-        part = model.transform(path.where((F.col("_group") == name) & (F.col("part") == "test"))).select(
-            F.lit(name).alias(group), F.lit(candidate).alias("model_name"),
-            F.lit(list(tree_candidates(settings)).index(candidate)).alias("candidate_order"),
-            F.expm1("y").alias("actual"), F.expm1("log_prediction").alias("predicted"), "bound_min", "bound_max",
-        )
-        tested = part if tested is None else tested.unionByName(part)
-    measured = settle(tested, "group-tests")
-    by = [group, "model_name", "candidate_order"]
-    screened = Q.prediction_screen(measured, by)
-    errors = Q.regression_metrics(
-        measured.withColumn("predicted", F.greatest("predicted", F.lit(0.0))), by
-    ).drop("n", "r2", "rmse", "predicted_mean", "actual_mean")
-    return settle(screened.join(errors, by), "group-tree-results"), models
+    return {prefix: GroupTrees(*[of(df, prefix, group) for df in (results, best, models)]) for prefix, (group, _) in levels.items()}
 
 
+def group_nonlinear_models(
+    df: DataFrame, group: str, key: str, limits: DataFrame, numbers: Sequence[str], categories: Sequence[str],
+    price: str = "unit_price", min_rows: int = 50, min_numeric: int = 15, candidates: Sequence[H.TreeCandidate] = H.CANDIDATES,
+) -> GroupTrees:
+    """Tree ensembles of every group with enough rows: grown on 80 %, screened and measured on 20 %."""
+    prepared = prepare_groups(df, group, key, limits, numbers, categories, price, min_rows, min_numeric)
+    return grow_levels({"": (group, prepared)}, numbers, categories, candidates)[""]

@@ -3,13 +3,14 @@
 A model table has one row per model: ``model_name, model_version, algorithm,
 r2, formula, intercept, coefficients MAP<STRING,DOUBLE>, feature_importance``.
 Numeric coefficients are keyed by the feature, category coefficients by
-``feature=level``; unknown levels add nothing. The prediction is on the
-``log(1 + price)`` scale.
+``feature=level``; unknown levels add nothing. A table may also have ``trees``
+(``histogram_trees.tree_models``), whose leaf values add to the intercept. The prediction is on
+the ``log(1 + price)`` scale.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,39 @@ def linear_prediction(
     return total
 
 
+def tree_prediction(trees: Column, numbers: Sequence[str] | Mapping[str, Column], categories: Sequence[str]) -> Column:
+    """Sum of the leaves that a row reaches in the trees of its model, 0 without trees.
+
+    Nodes lie in heap order, so that a descent takes as many steps as the tree is deep. A missing number counts as the
+    feature's centre; an unknown or missing level goes left.
+    """
+    values = list(numbers.values()) if isinstance(numbers, Mapping) else [F.col(n).cast("double") for n in numbers]
+    numeric = F.array(*values) if values else F.array().cast("array<double>")
+    texts = F.array(*[F.col(c).cast("string") for c in categories]) if categories else F.array().cast("array<string>")
+
+    def reached(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            node = F.get(tree, at)
+            above = F.coalesce(F.get(numeric, node["slot"]), node["center"]) > node["cut"]
+            same = F.coalesce(F.get(texts, node["slot"] - len(values)) == node["level"], F.lit(False))
+            right = F.when(node["slot"] < len(values), above).otherwise(same)
+            return F.when(node["slot"] < 0, at).otherwise(2 * at + 1 + right.cast("int"))
+
+        depth = F.sequence(F.lit(2), F.floor(F.log2(F.size(tree) + 1)).cast("int"))
+        return F.get(tree, F.aggregate(depth, F.lit(0), step))["value"]
+
+    return F.coalesce(F.aggregate(trees, F.lit(0.0), lambda total, tree: total + reached(tree)), F.lit(0.0))
+
+
+def _model_fields(models: DataFrame) -> list[str]:
+    return _MODEL_FIELDS + (["trees"] if "trees" in models.columns else [])
+
+
+def _log_price(model: Callable[[str], Column], fields: Sequence[str], numbers, categories: Sequence[str]) -> Column:
+    line = linear_prediction(model("intercept"), model("coefficients"), numbers, categories)
+    return line + tree_prediction(model("trees"), numbers, categories) if "trees" in fields else line
+
+
 def join_model_tiers(
     quotes: DataFrame,
     models: DataFrame,
@@ -73,7 +107,8 @@ def join_model_tiers(
     salted joins. Fields join flat and become a struct above the join, so that
     those nobody reads never leave the model table.
     """
-    table = settle(models.select("model_name", *_MODEL_FIELDS), "models")
+    fields = ["model_name", *_model_fields(models)]
+    table = settle(models.select(*fields), "models")
     rows = table.count()
     if tiers is None:
         # the registry spelling of both names is worked out once per row
@@ -82,24 +117,24 @@ def join_model_tiers(
     for tier, name in tiers.items():
         if tier == "global_prediction":
             # one model for all rows: a scalar, not a join
-            only = table.where(F.col("model_name") == GLOBAL_MODEL).select(F.struct("model_name", *_MODEL_FIELDS).alias("m"))
+            only = table.where(F.col("model_name") == GLOBAL_MODEL).select(F.struct(*fields).alias("m"))
             quotes = quotes.withColumns({f"{tier}_model": only.scalar(), f"{tier}_name": name})
             continue
         side = table.select(
-            F.col("model_name").alias("_name"), *[F.col(c).alias(f"_m_{c}") for c in ("model_name", *_MODEL_FIELDS)]
+            F.col("model_name").alias("_name"), *[F.col(c).alias(f"_m_{c}") for c in fields]
         )
         joined = join_lookup(quotes.withColumn("_name", name), side, ["_name"], settled_rows=rows)
-        model = F.struct(*[F.col(f"_m_{c}").alias(c) for c in ("model_name", *_MODEL_FIELDS)])
+        model = F.struct(*[F.col(f"_m_{c}").alias(c) for c in fields])
         quotes = joined.withColumns({f"{tier}_model": model, f"{tier}_name": F.col("_name")}).drop(
-            "_name", *[f"_m_{c}" for c in ("model_name", *_MODEL_FIELDS)]
+            "_name", *[f"_m_{c}" for c in fields]
         )
     return quotes.drop("_family", "_client")
 
 
-def _tier_block(tier: str, numbers: Sequence[str], categories: Sequence[str]) -> Column:
+def _tier_block(tier: str, numbers: Sequence[str], categories: Sequence[str], fields: Sequence[str]) -> Column:
     model = F.col(f"{tier}_model")
     there = model["model_name"].isNotNull()
-    log_price = linear_prediction(model["intercept"], model["coefficients"], numbers, categories)
+    log_price = _log_price(lambda f: model[f], fields, numbers, categories)
     # built in the order and with the types of quotes.TIER_TYPE
     return F.struct(
         F.col(f"{tier}_name").alias("model_name"),
@@ -121,7 +156,7 @@ def score_tiers(
     tiers: Sequence[str] = ("global_prediction", "family_linear", "family_nonlinear", "couple_linear", "couple_nonlinear"),
 ) -> DataFrame:
     """Turn every ``<tier>_model`` into a prediction block named after the tier."""
-    blocks = {t: _tier_block(t, numbers, categories) for t in tiers}
+    blocks = {t: _tier_block(t, numbers, categories, tiered.schema[f"{t}_model"].dataType.fieldNames()) for t in tiers}
     return tiered.withColumns(blocks).drop(*[f"{t}_model" for t in tiers], *[f"{t}_name" for t in tiers])
 
 
@@ -139,15 +174,16 @@ def score_quotes(
     Each tier is scored right after its join, so that coefficients are dropped
     before the next one and rows stay narrow.
     """
-    table = settle(models.select("model_name", *_MODEL_FIELDS), "models")
+    fields = ["model_name", *_model_fields(models)]
+    table = settle(models.select(*fields), "models")
     rows = table.count()
     spelled = quotes.withColumns({"_family": V.model_key(F.col(family)), "_client": V.model_key(F.col(client))})
     names = tier_names(F.col("_family"), F.col("_client"), spelled=True)
-    work = [f"_m_{c}" for c in ("model_name", *_MODEL_FIELDS)]
+    work = [f"_m_{c}" for c in fields]
     for tier in tiers:
         named = spelled.withColumn("_name", names[tier])
         if tier == "global_prediction":
-            only = table.where(F.col("model_name") == GLOBAL_MODEL).select(F.struct("model_name", *_MODEL_FIELDS).alias("m")).scalar()
+            only = table.where(F.col("model_name") == GLOBAL_MODEL).select(F.struct(*fields).alias("m")).scalar()
             joined = named.withColumns({w: only.getField(w.removeprefix("_m_")) for w in work})
         else:
             side = table.select(
@@ -155,7 +191,7 @@ def score_quotes(
             )
             joined = join_lookup(named, side, ["_name"], settled_rows=rows)
         there = F.col("_m_model_name").isNotNull()
-        log_price = linear_prediction(F.col("_m_intercept"), F.col("_m_coefficients"), numbers, categories)
+        log_price = _log_price(lambda f: F.col(f"_m_{f}"), fields, numbers, categories)
         kept = {
             "model_name": F.col("_name"),
             "model_version": F.coalesce("_m_model_version", F.lit(0).cast("bigint")),
@@ -168,6 +204,6 @@ def score_quotes(
             "reason": F.when(~there, F.lit("Model not found")),
         }
         spelled = joined.withColumns({f"_{tier}_{k}": c for k, c in kept.items()}).drop("_name", *work)
-    fields = TIER_TYPE.fieldNames()
-    blocks = {t: F.struct(*[F.col(f"_{t}_{k}").alias(k) for k in fields]) for t in tiers}
-    return spelled.withColumns(blocks).drop("_family", "_client", *[f"_{t}_{k}" for t in tiers for k in fields])
+    block = TIER_TYPE.fieldNames()
+    blocks = {t: F.struct(*[F.col(f"_{t}_{k}").alias(k) for k in block]) for t in tiers}
+    return spelled.withColumns(blocks).drop("_family", "_client", *[f"_{t}_{k}" for t in tiers for k in block])
