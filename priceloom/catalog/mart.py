@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priceloom.functions.scale import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -36,9 +38,8 @@ def row_key() -> Column:
 
 def sales(spark: SparkSession, sf_dir: str, client: bool = False, part: bool = False, nation: bool = False) -> DataFrame:
     """Order lines as mart rows; only the asked dimensions are joined."""
-    rows = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     columns = {
         "row_key": row_key(),
         "order_id": F.col("l_orderkey"),
@@ -71,7 +72,7 @@ def sales(spark: SparkSession, sf_dir: str, client: bool = False, part: bool = F
             "size": F.col("p_size").cast("bigint"),
             "retail": F.col("p_retailprice"),
         }
-    return rows.select(*[c.alias(n) for n, c in columns.items()])
+    return spread(rows, lines, "l_orderkey").select(*[c.alias(n) for n, c in columns.items()])
 
 
 # The same rows for the check engine.

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from priceloom.catalog import register
 from priceloom.catalog.bounds_checks import BOUNDS, family_rows
 from priceloom.catalog.client_checks import rounded
-from priceloom.catalog.mart import SALES, fixed, sales, table
-from priceloom.catalog.quote_checks import MODELS, scored_quotes
+from priceloom.catalog.mart import SALES, fixed, sales
+from priceloom.catalog.quote_checks import MODELS, TIER_COLUMNS, scored_quotes
 from priceloom.functions import values as V
+from priceloom.functions.scale import settle
+from priceloom.models import histogram_trees as H
 from priceloom.models import linear as L
 from priceloom.models import training as G
 from priceloom.models import trees as W
 from priceloom.operators import bounds as B
 from priceloom.operators import quality as Q
+from priceloom.operators import quotes as QU
 from priceloom.operators import ranking as R
+from priceloom.operators import scenarios as X
 from priceloom.operators import scoring as T
 
 NUMBERS = ["quantity", "size", "retail", "discount", "line_no"]
@@ -258,18 +262,105 @@ def coefficients_table(spark, sf_dir):
     return L.coefficients_table(models, "binding_type", 50)
 
 
-@register("score_trained_tiers")
-def score_trained_tiers(spark, sf_dir):
-    """Quotes scored with the trained family models."""
-    rows = training_rows(spark, sf_dir)
-    trained = G.train_families(rows, "binding_type", "row_key", NUMBERS, CATEGORIES)
-    registry = G.family_registry(trained.models, "binding_type")
-    names = {"family_linear": T.family_model_name(F.col("binding_type"), "Linear")}
-    tiered = T.join_model_tiers(rows, registry, tiers=names)
-    scored = T.score_tiers(tiered, NUMBERS, CATEGORIES, ["family_linear"])
-    return Q.regression_metrics(
-        scored.select("binding_type", F.col("unit_price").alias("actual"), F.col("family_linear.prediction").alias("predicted")),
-        ["binding_type"],
+# --- trees of groups ------------------------------------------------------------------
+
+#: One tree per group on all rows, without sampling: its splits can be found again in SQL.
+SINGLE_TREE = H.TreeCandidate("Single", "forest", 1, 2, feature_share=1.0, min_decrease=0.0)
+
+
+def _splits_sql(k: int) -> str:
+    """Best split of every node of ``n{k}`` (g, node, row_key, y), and the nodes of the next level."""
+    return f"""
+t{k} AS (SELECT g, node, count(*) AS n, sum(y) AS s FROM n{k} GROUP BY 1, 2),
+l{k} AS (
+  SELECT r.g, node, f, c, NULL AS v, 0 AS kind, count(*) FILTER (x <= c) AS nl, coalesce(sum(y) FILTER (x <= c), 0) AS sl FROM n{k} r JOIN num USING (g, row_key) JOIN cuts USING (g, f) GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT r.g, node, f, NULL, l.v, 1, count(*) FILTER (cat.v <> l.v), coalesce(sum(y) FILTER (cat.v <> l.v), 0) FROM n{k} r JOIN cat USING (g, row_key) JOIN levels l USING (g, f) GROUP BY 1, 2, 3, 5),
+b{k} AS (SELECT g, node, f, c, v, n, nl, sl, s, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM l{k} JOIN t{k} USING (g, node)
+  WHERE nl >= {SINGLE_TREE.min_leaf} AND n - nl >= {SINGLE_TREE.min_leaf} AND n >= {SINGLE_TREE.min_split}
+  QUALIFY row_number() OVER (PARTITION BY g, node ORDER BY round(gain, 9) DESC, kind, f, c, v) = 1),
+n{k + 1} AS (
+  SELECT r.g, 2 * r.node + 1 + CASE WHEN b.v IS NULL THEN num.x > b.c ELSE cat.v = b.v END::INT AS node, r.row_key, r.y FROM n{k} r JOIN b{k} b ON b.g = r.g AND b.node = r.node
+  LEFT JOIN num ON num.g = r.g AND num.row_key = r.row_key AND num.f = b.f LEFT JOIN cat ON cat.g = r.g AND cat.row_key = r.row_key AND cat.f = b.f)"""
+
+
+_NUM = " UNION ALL ".join(f"SELECT binding_type AS g, row_key, '{n}' AS f, CAST({n} AS DOUBLE) AS x FROM sales" for n in NUMBERS)
+_CAT = " UNION ALL ".join(f"SELECT binding_type AS g, row_key, '{c}' AS f, {c} AS v FROM sales" for c in CATEGORIES)
+SPLITS = f"""
+WITH {SALES}, num AS ({_NUM}), cat AS ({_CAT}),
+cuts AS (SELECT DISTINCT g, f, c FROM (SELECT g, f, unnest(quantile_cont(x, [{', '.join(str(k / H.BINS) for k in range(1, H.BINS))}])) AS c FROM num GROUP BY 1, 2)),
+seen AS (SELECT g, f, v, row_number() OVER (PARTITION BY g, f ORDER BY v) AS rk, count(*) OVER (PARTITION BY g, f) AS n FROM (SELECT DISTINCT g, f, v FROM cat)),
+levels AS (SELECT g, f, v FROM seen WHERE n <> 2 OR rk = 2),
+n0 AS (SELECT binding_type AS g, 0 AS node, row_key, ln(1 + unit_price) - avg(ln(1 + unit_price)) OVER (PARTITION BY binding_type) AS y FROM sales),
+{_splits_sql(0)},{_splits_sql(1)},
+base AS (SELECT binding_type AS g, avg(ln(1 + unit_price)) AS m FROM sales GROUP BY 1)
+SELECT g AS binding_type, node, f AS feature, c AS cut, v AS level, n, nl AS n_left, round(m + sl / nl, 6) AS mean_left, round(m + (s - sl) / (n - nl), 6) AS mean_right
+FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1) JOIN base USING (g)"""
+
+
+@register("group_tree_splits", SPLITS)
+def group_tree_splits(spark, sf_dir):
+    """Splits of one tree per family: the histogram engine without sampling, recomputed in SQL."""
+    rows = settle(training_rows(spark, sf_dir).select(
+        "binding_type", "row_key", *NUMBERS, *CATEGORIES, F.log1p("unit_price").alias("y"), F.lit("train").alias("part")
+    ), "rows")
+    design = settle(L.design_table(rows, "binding_type", NUMBERS, CATEGORIES), "design")
+    models = H.tree_models(H.grow(rows, design, "binding_type", "row_key", NUMBERS, CATEGORIES, [SINGLE_TREE]))
+    base = rows.groupBy("binding_type").agg(F.avg("y").alias("base"))
+    nodes = models.join(base, "binding_type").select("binding_type", "base", F.col("trees")[0].alias("t"), F.posexplode(F.col("trees")[0]).alias("node", "s"))
+    left, right = F.get("t", 2 * F.col("node") + 1), F.get("t", 2 * F.col("node") + 2)
+    feature = F.get(F.array(*[F.lit(c) for c in [*NUMBERS, *CATEGORIES]]), F.col("s.slot"))
+    return nodes.where(F.col("s.slot") >= 0).select(
+        "binding_type", "node", feature.alias("feature"), F.col("s.cut").alias("cut"), F.col("s.level").alias("level"),
+        F.col("s.n").cast("bigint").alias("n"), left["n"].cast("bigint").alias("n_left"),
+        fixed(F.col("base") + left["value"], 6).alias("mean_left"), fixed(F.col("base") + right["value"], 6).alias("mean_right"),
     )
 
 
+# Trained once per session and folder: the queries below read the registry as quotes do.
+_LEVELS: dict[tuple[str, str], G.Levels] = {}
+
+
+def trained_levels(spark, sf_dir) -> G.Levels:
+    """Linear and tree models of families, pairs and the whole at full size, written to the registry table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEVELS:
+        rows = settle(training_rows(spark, sf_dir), "mart")
+        _LEVELS[key] = G.train_levels(rows, "binding_type", "country", "row_key", NUMBERS, CATEGORIES)
+    return _LEVELS[key]
+
+
+def trained_quotes(spark, sf_dir):
+    """Order lines scored with the trained models of all five tiers."""
+    return T.score_quotes(training_rows(spark, sf_dir), trained_levels(spark, sf_dir).registry, NUMBERS, CATEGORIES, "binding_type", "country")
+
+
+@register("score_trained_tiers")
+def score_trained_tiers(spark, sf_dir):
+    """How well each tier prices the order lines, all tiers from trained models."""
+    tiers = [F.struct(F.lit(t).alias("tier"), F.col(t)["available"].alias("available"), F.col(t)["prediction"].alias("predicted")) for t in TIER_COLUMNS.values()]
+    flat = trained_quotes(spark, sf_dir).select("binding_type", F.col("unit_price").alias("actual"), F.explode(F.array(*tiers)).alias("t")).select("binding_type", "actual", "t.*")
+    return Q.regression_metrics(flat.where("available"), ["binding_type", "tier"])
+
+
+@register("trained_feature_importance")
+def trained_feature_importance(spark, sf_dir):
+    """The 50 largest importances of the best tree model of every family and pair."""
+    levels = trained_levels(spark, sf_dir)
+    best = levels.families.trees.best.withColumnRenamed("_family", "name").unionByName(levels.pairs.trees.best.withColumnRenamed("_pair", "name"))
+    rows = best.select("name", "model_name", F.explode("feature_importance").alias("feature", "importance"))
+    return R.topk_feature_importance(rows, ["name"], 50)
+
+
+@register("trained_scenarios")
+def trained_scenarios(spark, sf_dir):
+    """The strongest scenario of every order line, its price moved through the best available trained tier."""
+    registry = trained_levels(spark, sf_dir).registry
+
+    def price(rows):
+        scored = QU.quote_select_tier(T.score_quotes(rows, registry, NUMBERS, CATEGORIES, "binding_type", "country").withColumn("siren", F.col("country")))
+        return scored.withColumn("price", F.coalesce(F.col("selected.price"), F.col("global_prediction.prediction"))).select(*rows.columns, "price")
+
+    quotes = training_rows(spark, sf_dir).drop("siren")
+    base = price(quotes).withColumnRenamed("price", "base_price")
+    results = X.scenario_evaluate(base, price, percent=F.lit(20.0))
+    return X.strongest_scenario(results, "row_key")

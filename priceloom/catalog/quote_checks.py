@@ -193,7 +193,9 @@ confident AS (
 
 
 def confident_quotes(spark, sf_dir):
-    quotes = Q.quote_select_tier(Q.filter_available_predictions(scored_quotes(spark, sf_dir)))
+    # written without the maps: the decision reads every price several times
+    slim = scored_quotes(spark, sf_dir).withColumns({t: F.col(t).dropFields("feature_importance") for t in TIER_COLUMNS.values()})
+    quotes = Q.quote_select_tier(Q.filter_available_predictions(settle(slim, "scored")))
     chosen = F.col("selected")
     formula = F.when(chosen["strategy"] == "GLOBAL", F.col("global_prediction")["formula"]).when(
         chosen["strategy"] == "COUPLE_LINEAR", F.col("couple_linear")["formula"]
@@ -466,10 +468,10 @@ def normalize_category(spark, sf_dir):
 
 @register("unknown_categories", f"""
 WITH {REQUESTS} SELECT 'text_color' AS feature, count(*) FILTER (text_color NOT IN ({sql_list(S.KNOWN_CATEGORIES['text_color'])})) AS n_unknown FROM built
-UNION ALL SELECT 'siren', count(*) FROM built UNION ALL SELECT 'binding_type', 0 UNION ALL SELECT 'cover_size', 0""")
+UNION ALL SELECT 'siren', count(*) FROM built
+UNION ALL SELECT unnest([{sql_list(c for c in S.CATEGORY_FEATURES if c not in ('text_color', 'siren'))}]), 0""")
 def unknown_categories(spark, sf_dir):
-    found = P.unknown_categories(P.build_feature_rows(quote_requests(spark, sf_dir)))
-    return found.where(F.col("feature").isin("text_color", "siren", "binding_type", "cover_size"))
+    return P.unknown_categories(P.build_feature_rows(quote_requests(spark, sf_dir)))
 
 
 # --- registry metadata ------------------------------------------------------

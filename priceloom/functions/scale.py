@@ -56,6 +56,16 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over all cores by ``keys`` if the table it comes from (``source``, a plain read) has fewer pieces than that.
+
+    A small table in one row group is otherwise worked on by one task, whatever follows. Large tables have more pieces than
+    there are cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if source.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def written_bytes(df: DataFrame) -> int:
     """Spark's size of the plan: the bytes of the files where it reads a written table."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from priceloom import schema as S
-from priceloom.functions.distribution import quantiles, value_counts
+from priceloom.functions.distribution import quantiles_of
 
 
 def _melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str], kind: str) -> DataFrame:
@@ -179,7 +179,7 @@ def prediction_plausibility(df: DataFrame, by: str, predicted: str = "predicted"
         F.stddev_pop(p).alias("pred_std"),
         F.max("bound_min").alias("bound_min"), F.max("bound_max").alias("bound_max"),
     )
-    points = quantiles(value_counts(df, [by], predicted), [by], {"p1": 0.01, "pred_median": 0.5, "p99": 0.99})
+    points = quantiles_of(df, [by], predicted, {"p1": 0.01, "pred_median": 0.5, "p99": 0.99})
     lo, hi = F.col("bound_min"), F.col("bound_max")
     safe_lo, safe_hi = lo * 0.8, F.least(hi * 1.2, F.lit(S.MAX_REASONABLE_PRICE * 1.5))
     top, bottom = F.col("pred_max"), F.col("pred_min")

@@ -120,11 +120,13 @@ def quote_select_override(
 
 def quote_confidence(quotes: DataFrame, strategy: Column, formula: Column, r2: Column) -> DataFrame:
     """Confidence from the fit of the chosen model, else from the spread of the tiers' prices."""
-    prices = [F.when(_available(t), F.col(t)["prediction"]) for t in TIERS]
-    n = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in prices[1:]), F.when(prices[0].isNotNull(), 1).otherwise(0))
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in prices[1:]), F.coalesce(prices[0], F.lit(0.0)))
+    # functions of the whole array, not of its elements: the optimizer then works out the five prices once per row
+    quotes = quotes.withColumn("_prices", F.array(*[F.when(_available(t), F.col(t)["prediction"]) for t in TIERS]))
+    prices = F.col("_prices")
+    n = F.size(F.array_compact(prices))
+    total = F.aggregate(prices, F.lit(0.0), lambda a, p: a + F.coalesce(p, F.lit(0.0)))
     mean = F.try_divide(total, n)
-    spread = F.try_divide(F.greatest(*prices) - F.least(*prices), mean) * 100
+    spread = F.try_divide(F.array_max(prices) - F.array_min(prices), mean) * 100
     linear = F.coalesce(F.upper(strategy).isin("COUPLE_LINEAR", "FAMILY_LINEAR"), F.lit(False))
     explained = F.coalesce(formula != "", F.lit(False)) | linear
     return quotes.withColumn(
@@ -136,7 +138,7 @@ def quote_confidence(quotes: DataFrame, strategy: Column, formula: Column, r2: C
         .when(spread <= 5, "HIGH")
         .when(spread <= 15, "MEDIUM")
         .otherwise("LOW"),
-    )
+    ).drop("_prices")
 
 
 def quote_action(quotes: DataFrame) -> DataFrame:

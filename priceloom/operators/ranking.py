@@ -42,7 +42,7 @@ def target_quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame
     by comparing with it, so there is no ordering of the whole frame.
     """
     probs = {f"_e{k}": k / bins for k in range(bins + 1)}
-    edges = settle(quantiles_of(df, [], value, probs), "edges")
+    edges = settle(quantiles_of(settle(df.select(value), "values"), [], value, probs), "edges")
     cuts = edges.select(F.array_distinct(F.array(*list(probs))).alias("edges")).scalar()
     return df.withColumn("_edges", cuts).withColumn(
         "bin",
@@ -65,7 +65,8 @@ def stratified_split(
     hashed = df.withColumn("_h", V.stable_hash(F.col(key).cast("string")).cast("double"))
     last = F.round(F.col("total") * F.lit(test_share)).cast("bigint") - 1
     wanted = F.array(F.struct(F.lit(0).alias("i"), last.alias("rank")))
-    hashes = hashed.select(stratum, F.col("_h").alias("value"))
+    # the threshold reads the rows twice: written, the plan behind them runs once for it
+    hashes = settle(hashed.select(stratum, F.col("_h").alias("value")), "hashes")
     limits = nth_values_unique(hashes, [stratum], wanted).select(stratum, F.col("value").alias("_limit"))
     return (
         join_lookup(hashed, limits, [stratum])
