@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.functions.scale import settle
+from priceloom.functions.scale import join_lookup, settle
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,11 +76,27 @@ def rank_within(df: DataFrame, keys: list[str], tie_break: list[str], rank: str
 
 
 def _window(keys: list[str], order: list[str]):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``_row``, ``doc`` (all columns): the rows of a table that is read straight from files, with a number each.
+
+    The number is made of the place of the row's file among the paths and of the row's place in the
+    file. It is the same in every scan, however files are dealt to tasks and whichever executors there are.
+    Inside ``doc`` the columns may have any names.
+    """
+    where = docs.metadataColumn("_metadata")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), where.getField("file_path").alias("_file"),
+        where.getField("row_index").alias("_index"),
+    )
+    # as many rows as files, a list that Spark's own file index holds too
+    order = Window.orderBy("_file")
+    files = rows.select("_file").distinct().withColumn("_number", F.row_number().over(order).cast("long"))
+    return join_lookup(rows, files, ["_file"], "inner").select((F.shiftleft("_number", 40) + F.col("_index")).alias("_row"), "doc")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 

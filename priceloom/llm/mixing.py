@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import settle
-from priceloom.llm.common import WORD, rank_within, table, text_of
+from priceloom.llm.common import WORD, numbered, rank_within, table, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -187,13 +187,14 @@ def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document of ``docs`` (a table read) as often as the mix takes it, 0 to 3 times."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
+    narrow = rows.select("_row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "text", "source")])
     copies = settle(
-        mix(rows, id_column="_row", order_column="doc_id").where("copies > 0").select(F.col("doc_id").alias("_of"), "copies"),
+        mix(narrow, id_column="_row", order_column="doc_id").where("copies > 0").select(F.col("doc_id").alias("_of"), F.col("copies").alias("_copies")),
         "mix-copies",
     )
     return (
         rows.join(copies.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
     )

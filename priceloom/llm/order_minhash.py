@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import settle
-from priceloom.llm.common import bounded_batches, parallelism, table, text_of
+from priceloom.llm.common import bounded_batches, numbered, parallelism, table, text_of
 from priceloom.llm.graph import components
 from priceloom.llm.tokens import C1, edit_distance, kmers, mix, together, word_hashes
 
@@ -29,6 +29,9 @@ PICKS = 2
 # Bins of the word counts, and texts of a bucket that meet in one tile.
 BINS = 256
 TILE = 1024
+# Pairs of two classes that a tile gives in the first round, and the factor of each further round.
+FIRST_PAIRS = 4
+MORE_PAIRS = 16
 #: Edit similarity from which two texts are linked: 1 - word edits / words of the longer one.
 SIMILARITY = 0.8
 _PLACE_BITS = np.uint64(24)
@@ -104,10 +107,12 @@ def may_match(bins: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, s
     return others[np.maximum(more, more - apart.sum(axis=1)) <= limit]
 
 
-def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float) -> DataFrame:
+def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done: int, upto: int) -> DataFrame:
     """Pairs (a, b; a > b) of ``members`` (a, s, bucket, root) in one bucket, with different roots, that may match.
 
-    A bucket is cut into blocks; every two blocks meet in a tile of their own, so a bucket of any size is no hot task.
+    A bucket is cut into blocks; every two blocks meet in a tile of their own, so a bucket of any size is no hot task. Of
+    the pairs between two classes, a tile gives those from number ``done`` to ``upto`` in the order of a hash, and a row of
+    -1 if there are more. As classes only grow, a pair before ``done`` was among the first of its classes in an earlier round.
     """
     sizes = members.groupBy("s", "bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
     # of two texts, one is the leader that the other has met
@@ -128,8 +133,18 @@ def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float) -> Da
                 others = others[(root[others] != root[i]) & (True if one else block[others] != block[i])]
                 if len(others):
                     others = may_match(bins, words, i, others, similarity)
-                    out.append(np.stack([np.maximum(a[i], a[others]), np.minimum(a[i], a[others])]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+                    at = np.full(len(others), s)
+                    out.append(np.stack([np.maximum(a[i], a[others]), np.minimum(a[i], a[others]), np.minimum(root[i], root[others]), np.maximum(root[i], root[others]), at]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+        order = np.lexsort([mix(pairs[0].astype(np.uint64) * C1 + pairs[1].astype(np.uint64)), pairs[3], pairs[2], pairs[4]])
+        pairs = pairs[:, order]
+        if pairs.shape[1]:
+            new = np.concatenate([[True], (pairs[2:, 1:] != pairs[2:, :-1]).any(axis=0)])
+            nth = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            rest = (nth >= upto).any()
+            pairs = pairs[:2, (nth >= done) & (nth < upto)]
+            if rest:
+                pairs = np.concatenate([pairs, [[-1], [-1]]], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +247,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    rows = settle(_sketch_rows(numbered), "order-sketches")
+    placed = numbered(docs.select("doc_id", "text")).select("_row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    rows = settle(_sketch_rows(placed), "order-sketches")
     texts = settle(
         rows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "_row", "sigs", "words", "bins")).alias("r")).select(
             "key1", "key2", F.col("r._row").alias("a"), "r.sigs", "r.words", "r.bins"
@@ -246,16 +261,24 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = waiting.groupBy("s", "bucket").agg(F.min(lead).alias("x"), F.max(lead).alias("y")).where("x <> y")
     shared = settle(waiting.join(buckets.select("s", "bucket", F.col("x.a").alias("b")), ["s", "bucket"]), "buckets")
     pairs = settle(shared.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    words = _pair_words(numbered, pairs)
-    tried = settle(_similar(pairs, words, similarity), "judged")
-    links = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # every text of a shared bucket meets its leader, so that these are the words of all texts below
+    words = _pair_words(placed, pairs)
+    links = settle(_similar(pairs, words, similarity), "judged").where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = settle(components(links), "roots")
-    # whoever is not yet in one class with all others of its bucket meets each of the other classes
+    # whoever is not yet in one class with all others of its bucket meets the other classes, some pairs of two classes
+    # at a time: classes that merge need no more
     profile = texts.select(F.col("a").alias("_a"), "words", "bins")
-    members = shared.select("a", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "s", "bucket", F.coalesce("root", "a").alias("root"))
-    more = settle(_tile_pairs(settle(members, "bucket-members"), profile, similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "further-pairs")
-    judged = settle(_similar(more, _pair_words(numbered, more), similarity), "further-judged")
-    roots = components(links.union(judged.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    done, upto = 0, FIRST_PAIRS
+    while True:
+        members = shared.select("a", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "s", "bucket", F.coalesce("root", "a").alias("root"))
+        more = settle(_tile_pairs(settle(members, "bucket-members"), profile, similarity, done, upto), "further-pairs")
+        tested = settle(_similar(more.where("a >= 0"), words, similarity), "further-judged")
+        # classes so far are links of their roots
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = settle(components(known.union(tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
+        if more.where("a < 0").isEmpty():
+            break
+        done, upto = upto, upto * MORE_PAIRS
     classes = texts.select("key1", "key2", "a").join(roots, F.col("a") == F.col("node"), "left").select(
         F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), F.coalesce("root", "a").alias("_set")
     )
@@ -277,7 +300,6 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of every class stays, that with the smallest doc_id."""
     keep = settle(near_copies(docs).where(F.col("_row") == F.col("_root")).select(F.col("_row").alias("_keep")), "kept-rows")
-    names = [f"`{c}`" for c in docs.columns]
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(
-        keep.hint("shuffle_hash"), F.col("_row") == F.col("_keep"), "left_semi"
-    ).select(*names)
+    return numbered(docs).join(keep.hint("shuffle_hash"), F.col("_row") == F.col("_keep"), "left_semi").select(
+        *[F.col("doc").getField(c).alias(c) for c in docs.columns]
+    )
