@@ -12,9 +12,11 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +67,13 @@ def _stem(w: bytes) -> bytes:
     return stem if stem and len(stem) < len(w) and (stem[-1:].isalnum() or stem.decode().lower()[-1].isalpha()) else w
 
 
-def encoded(texts: list[bytes], path: str, tokenizer) -> list[bytes]:
-    """Ids of each UTF-8 text as little-endian unsigned 32-bit integers.
+def encode(texts: pa.Array, path: str, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all ``texts`` (no nulls) one after another as unsigned 32-bit integers, and the number of ids of each.
 
     The tokenizer never joins across white space and lower-cases, so a text is the join of its
-    lower-cased words, and a word is its stem and the marks that end it. A worker encodes
-    a stem once while it remembers it. Words are split at ASCII white space
-    only; whatever else the tokenizer treats as space stays inside a word. Texts
+    lower-cased words, and a word is its stem and the marks that end it. Arrow tells the distinct words of
+    a batch apart; a worker encodes a stem once while it remembers it, and numpy gathers the ids. Words are split at ASCII
+    white space only; whatever else the tokenizer treats as space stays inside a word. Texts
     that may spell a special token keep their case.
     """
     memory = remembered(f"ids of {path}", lambda: [{}, {}, {}, {}])
@@ -79,29 +81,49 @@ def encoded(texts: list[bytes], path: str, tokenizer) -> list[bytes]:
         if len(memory[now]) > MEMORY_WORDS:
             memory[now], memory[now + 1] = {}, memory[now]
     words, old_words, stems, old_stems = memory
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    new = {w: _stem(w) for w in _recall(words, old_words, set().union(*split))}
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = split.flatten().dictionary_encode()
+    spelled = distinct.dictionary.cast(pa.binary()).to_pylist()
+    new = {w: _stem(w) for w in _recall(words, old_words, set(spelled))}
     parts = set(new.values())
     parts.update(w[len(stem):] for w, stem in new.items() if len(stem) < len(w))
     missing = _recall(stems, old_stems, parts)
     for at in range(0, len(missing), 4096):
         part = missing[at:at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-            stems[w] = array("I", e.ids).tobytes()
+        lists = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)]
+        flat = array("I", chain.from_iterable(lists)).tobytes()
+        cuts = [0, *accumulate(4 * len(ids) for ids in lists)]
+        stems.update(zip(part, [flat[i:j] for i, j in zip(cuts, cuts[1:])]))
     for w, stem in new.items():
         words[w] = stems[stem] if len(stem) == len(w) else stems[stem] + stems[w[len(stem):]]
-    return [b"".join(map(words.__getitem__, t)) for t in split]
+    found = list(map(words.__getitem__, spelled))
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(lengths) - lengths
+    codes = distinct.indices.to_numpy(zero_copy_only=False)
+    counts = lengths[codes]
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(starts[codes] - ends + counts, counts) + np.arange(total)]
+    per_text = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
+    return ids, per_text
+
 
+def encoded(texts: list[bytes], path: str, tokenizer) -> list[bytes]:
+    """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+    ids, counts = encode(pa.array(texts, pa.binary()).cast(pa.string()), path, tokenizer)
+    return [c.tobytes() for c in np.split(ids, np.cumsum(counts)[:-1])]
 
-def _together(texts: list[bytes]) -> Iterator[slice]:
+
+def _together(lengths: list[int]) -> Iterator[slice]:
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > TOGETHER_BYTES:
+    for i, n in enumerate(lengths):
+        if size and size + n > TOGETHER_BYTES:
             yield slice(start, i)
             start, size = i, 0
-        size += len(t)
-    if texts:
-        yield slice(start, len(texts))
+        size += n
+    if lengths:
+        yield slice(start, len(lengths))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -116,21 +138,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ] + ([("ids", pa.list_(pa.int64()))] if with_ids else [])
     schema = pa.schema(fields)
-    end = np.asarray([END_ID], dtype="<u4").tobytes()
-    width = 4 * capacity
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for part in _together(texts):
-                rows = []
-                for doc_id, ids in zip(doc_ids[part], encoded(texts[part], path, tokenizer)):
-                    ids += end
-                    for i, start in enumerate(range(0, len(ids), width)):
-                        cut = ids[start:start + width]
-                        row = (doc_id, i, start // 4, len(cut) // 4, zlib.crc32(cut))
-                        rows.append((*row, np.frombuffer(cut, "<u4").astype(np.int64)) if with_ids else row)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for part in _together(pc.binary_length(texts).to_pylist()):
+                ids, counts = encode(texts[part], path, tokenizer)
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
+                rows, start = [], 0
+                for doc_id, n in zip(doc_ids[part], (counts + 1).tolist()):
+                    for i, at in enumerate(range(0, n, capacity)):
+                        cut = ids[start + at:start + min(at + capacity, n)]
+                        row = (doc_id, i, at, len(cut), zlib.crc32(cut))
+                        rows.append((*row, cut.astype(np.int64)) if with_ids else row)
+                    start += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema
                 )
