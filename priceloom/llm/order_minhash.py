@@ -30,8 +30,8 @@ PICKS = 2
 BINS = 256
 TILE = 1024
 # Pairs of two classes that a tile gives in the first round, and the factor of each further round.
-FIRST_PAIRS = 4
-MORE_PAIRS = 16
+FIRST_PAIRS = 32
+MORE_PAIRS = 64
 #: Edit similarity from which two texts are linked: 1 - word edits / words of the longer one.
 SIMILARITY = 0.8
 _PLACE_BITS = np.uint64(24)
@@ -273,9 +273,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         members = shared.select("a", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "s", "bucket", F.coalesce("root", "a").alias("root"))
         more = settle(_tile_pairs(settle(members, "bucket-members"), profile, similarity, done, upto), "further-pairs")
         tested = settle(_similar(more.where("a >= 0"), words, similarity), "further-judged")
-        # classes so far are links of their roots
-        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = settle(components(known.union(tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
+        if not tested.where("ok").isEmpty():
+            # classes so far are links of their roots
+            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = settle(components(known.union(tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
         if more.where("a < 0").isEmpty():
             break
         done, upto = upto, upto * MORE_PAIRS
