@@ -492,6 +492,24 @@ def test_two_passages_at_any_gap_are_found(spark, tmp_path):
     assert set(got) == set(shared)
 
 
+@pytest.mark.parametrize("every", [5, 6, 8, 10, 20])
+def test_passages_with_every_nth_word_changed_are_found(spark, tmp_path, every):
+    """Recall of planted 70-word passages down to the promised identity, among unlike texts."""
+    rng = np.random.default_rng(every)
+    other = iter(f"u{i}" for i in range(1_000_000))
+    rows = []
+    for i in range(60):
+        shared = words(rng, 70)
+        changed = [next(other) if (j + i) % every == every - 1 else w for j, w in enumerate(shared)]
+        for side, passage in enumerate((shared, changed)):
+            rows.append((2 * i + side, " ".join(words(rng, 40) + passage + words(rng, 40))))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = substrings.passages(spark.read.parquet(path)).collect()
+    assert all(r["source_id"] == r["doc_id"] - 1 and r["start"] >= 34 and r["end"] <= 116 and r["identity"] >= 0.8 - 1e-9 for r in got)
+    assert len({r["doc_id"] for r in got}) >= 0.9 * 60
+
+
 def test_pieces_of_a_chain_meet_brute_force():
     rng = np.random.default_rng(13)
     for _ in range(60):
