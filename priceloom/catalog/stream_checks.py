@@ -8,7 +8,6 @@ from priceloom.catalog import register
 from priceloom.catalog.client_checks import FEATURES, ROUND_FEATURES, priced_input, rounded
 from priceloom.catalog.mart import fixed, table
 from priceloom.functions.scale import fresh_path
-from priceloom.operators.clients import client_features
 from priceloom.streaming import arrivals as A
 
 
@@ -44,21 +43,20 @@ def stream_dedup_content(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = fresh_path(spark, "documents")
     documents.write.parquet(folder)
-    rows = A.stream_rows(spark, folder, documents.schema, files_per_batch=1000).withColumn("content_md5", F.md5("text"))
-    return finished(A.stream_dedup_content(rows), spark, "distinct").select("content_md5")
+    rows = A.stream_rows(spark, folder, documents.schema, files_per_batch=1000).withColumns(
+        {"content_md5": F.md5("text"), "arrived_at": F.current_timestamp()}
+    )
+    return finished(A.stream_dedup_content(rows, time_column="arrived_at"), spark, "distinct").select("content_md5")
 
 
 def refreshed(spark, sf_dir):
-    """Orders arrive in about two batches; every batch refreshes the client features."""
+    """Orders arrive in about two batches; every batch refreshes the client features from its own orders and the clients' moments."""
     orders = priced_input(spark, sf_dir).select("order_id", "siren", "quantity", "unit_price", "tva", "reception_date")
     source, folder = fresh_path(spark, "extracts"), fresh_path(spark, "refresh")
     orders.write.parquet(source)
     half = max(1, len(spark.read.parquet(source).inputFiles()) // 2)
 
-    def refresh(history, target):
-        client_features(history).write.mode("overwrite").parquet(target)
-
-    query = A.stream_refresh_features(A.stream_rows(spark, source, orders.schema, files_per_batch=half), folder, refresh)
+    query = A.stream_client_features(A.stream_rows(spark, source, orders.schema, files_per_batch=half), folder)
     query.awaitTermination()
     return folder, query.lastProgress["batchId"]
 
@@ -66,7 +64,7 @@ def refreshed(spark, sf_dir):
 @register("stream_refresh_features", f"WITH {FEATURES} SELECT {ROUND_FEATURES} FROM features")
 def stream_refresh_features(spark, sf_dir):
     folder, last = refreshed(spark, sf_dir)
-    return rounded(spark.read.parquet(f"{folder}/layers/{last}"))
+    return rounded(spark.read.parquet(f"{folder}/client_features/{last}"))
 
 
 @register("stream_run_metrics", "SELECT 0 AS failed_runs, count(*) AS rows_processed FROM lineitem")

@@ -212,6 +212,90 @@ def client_features(
     return _filled(client_recency_seniority(clients))
 
 
+# Moments of price, valid price and the logarithms: name, its count, its mean's name.
+_SPREADS = {"price_m2": ("price_n", "price_mean"), "valid_m2": ("valid_n", "valid_mean"), "log_p_m2": ("valid_n", "log_p_mean")}
+
+
+def client_moments(df: DataFrame) -> DataFrame:
+    """Per client what ``client_features`` needs of its orders, in a form that ``merge_moments`` can add up.
+
+    Counts, means, sums of squared and crossed deviations, extremes. Rows without ``siren``
+    are left out; missing prices and quantities are not counted.
+    """
+    rows = price_ht(df).where(F.col("siren").isNotNull())
+    valid = (F.col("quantity") > 0) & (F.col("unit_price_ht") > 0)
+    price, log_q, log_p = (F.when(valid, c) for c in (F.col("unit_price_ht"), F.ln("quantity"), F.ln("unit_price_ht")))
+
+    def spread(value: Column) -> Column:
+        return F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0))
+
+    return rows.groupBy("siren").agg(
+        F.count("unit_price_ht").alias("price_n"), F.avg("unit_price_ht").alias("price_mean"), spread(F.col("unit_price_ht")).alias("price_m2"),
+        F.count("quantity").alias("quantity_n"), F.avg("quantity").alias("quantity_mean"),
+        F.min(_order_date(rows)).alias("first_order"), F.max(_order_date(rows)).alias("last_order"),
+        F.count(price).alias("valid_n"), F.avg(price).alias("valid_mean"), spread(price).alias("valid_m2"),
+        F.min(price).alias("valid_min"), F.max(price).alias("valid_max"),
+        F.avg(log_q).alias("log_q_mean"), F.avg(log_p).alias("log_p_mean"), spread(log_p).alias("log_p_m2"),
+        F.coalesce(F.covar_pop(log_q, log_p) * F.count(price), F.lit(0.0)).alias("log_c"),
+    )
+
+
+def merge_moments(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Moments of the orders of both; a client may be on either side or on both. One row per client and side, so no key is hot."""
+    a, b = one.alias("a"), two.alias("b")
+    means = {"price_mean": "price_n", "quantity_mean": "quantity_n", "valid_mean": "valid_n", "log_q_mean": "valid_n", "log_p_mean": "valid_n"}
+
+    def count(side: str, n: str) -> Column:
+        return F.coalesce(F.col(f"{side}.{n}"), F.lit(0))
+
+    def both(n: str) -> Column:
+        return count("a", n) + count("b", n)
+
+    def gap(mean: str) -> Column:
+        return F.coalesce(F.col(f"b.{mean}") - F.col(f"a.{mean}"), F.lit(0.0))
+
+    def between(n: str, first: str, second: str) -> Column:
+        return F.coalesce(F.try_divide(gap(first) * gap(second) * count("a", n) * count("b", n), both(n)), F.lit(0.0))
+
+    def added(name: str) -> Column:
+        return F.coalesce(F.col(f"a.{name}"), F.lit(0.0)) + F.coalesce(F.col(f"b.{name}"), F.lit(0.0))
+
+    merged = {n: both(n) for n in ("price_n", "quantity_n", "valid_n")}
+    for mean, n in means.items():
+        step = gap(mean) * F.try_divide(count("b", n), both(n))
+        merged[mean] = F.when(F.col(f"a.{mean}").isNull(), F.col(f"b.{mean}")).when(F.col(f"b.{mean}").isNull(), F.col(f"a.{mean}")).otherwise(F.col(f"a.{mean}") + step)
+    for name, (n, mean) in _SPREADS.items():
+        merged[name] = added(name) + between(n, mean, mean)
+    merged["log_c"] = added("log_c") + between("valid_n", "log_q_mean", "log_p_mean")
+    for name, pick in {"first_order": F.least, "last_order": F.greatest, "valid_min": F.least, "valid_max": F.greatest}.items():
+        merged[name] = pick(f"a.{name}", f"b.{name}")
+    joined = a.join(b, F.col("a.siren") == F.col("b.siren"), "full")
+    return joined.select(F.coalesce("a.siren", "b.siren").alias("siren"), *[merged[c].alias(c) for c in one.columns if c != "siren"])
+
+
+def features_of_moments(moments: DataFrame, min_samples: int = MIN_SAMPLES, min_cv: float = MIN_PRICE_CV) -> DataFrame:
+    """The columns of ``client_features`` from a written table of moments."""
+
+    def deviation(m2: str, n: str) -> Column:
+        return F.when(F.col(n) > 1, F.sqrt(F.col(m2) / (F.col(n) - 1)))
+
+    std = deviation("price_m2", "price_n")
+    work = {
+        "_n": F.col("valid_n"), "_valid_mean": F.col("valid_mean"),
+        # equal prices have no spread, whatever rounding left of it
+        "_valid_std": F.when((F.col("valid_n") > 1) & (F.col("valid_min") == F.col("valid_max")), 0.0).otherwise(deviation("valid_m2", "valid_n")),
+        "_slope": F.try_divide(F.col("log_c"), F.col("log_p_m2")), "_r2": F.lit(None).cast("double"),
+    }
+    elastic = _elasticity_columns(min_samples, min_cv)
+    clients = moments.withColumns(work).select(
+        "siren", F.col("price_n").alias("client_nb_orders"), F.col("price_mean").alias("client_avg_price_ht"), std.alias("client_price_std_ht"),
+        F.col("quantity_mean").alias("client_avg_quantity"), F.coalesce(std, F.lit(0.0)).alias("client_price_volatility"),
+        F.lit(1.0).alias("client_relative_price"), F.col("first_order").alias("client_first_order"), F.col("last_order").alias("client_last_order"),
+        *[F.when(F.col("_n") > 0, elastic[c]).alias(c) for c in ("client_price_elasticity", "elasticity_status")],
+    )
+    return _filled(client_recency_seniority(clients))
+
+
 def join_enrich_orders(orders: DataFrame, features: DataFrame) -> DataFrame:
     """Features on every order; absent numbers 0, absent status ``none``, absent dates null."""
     added = [f for f in features.schema.fields if f.name != "siren"]

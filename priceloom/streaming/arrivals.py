@@ -9,12 +9,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from priceloom import schema as S
+from priceloom.operators import clients
 
 # Names the arrivals skip.
 IGNORED_FILES = ["current_source.sql", "mysql_db_dump.sql"]
@@ -78,10 +80,39 @@ def stream_dedup_content(
     return arrivals.withWatermark(time_column, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def _ledger_row(spark: SparkSession, batch: int, started: float, rows: int, error: str | None) -> DataFrame:
-    record = [(str(batch), error is None, time.time() - started, rows, 0, error)]
-    frame = spark.createDataFrame(record, "run_id string, succeeded boolean, seconds double, rows bigint, retries bigint, error string")
-    return frame.withColumn("finished_at", F.current_timestamp()).select(*S.RUN_LEDGER.fieldNames())
+def _failures(spark: SparkSession, ledger: str, batch: int) -> int:
+    """Failed attempts of a batch that the ledger holds."""
+    try:
+        runs = stream_run_metrics(spark, ledger)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0  # nothing has ended yet
+    return runs.where((F.col("run_id") == str(batch)) & ~F.col("succeeded")).count()
+
+
+def _recorded(spark: SparkSession, ledger: str, batch_id: int, work: Callable[[], int]) -> None:
+    """Run ``work``, which returns the rows it took in, and write a ledger row; its retries are the earlier failures of the batch."""
+    started, retries = time.time(), _failures(spark, ledger, batch_id)
+
+    def write(part: str, rows: int, error: str | None) -> None:
+        record = [(str(batch_id), error is None, time.time() - started, rows, retries, error)]
+        frame = spark.createDataFrame(record, "run_id string, succeeded boolean, seconds double, rows bigint, retries bigint, error string")
+        frame.withColumn("finished_at", F.current_timestamp()).select(*S.RUN_LEDGER.fieldNames()).write.mode("overwrite").parquet(f"{ledger}/{part}")
+
+    try:
+        rows = work()
+    except Exception as exc:
+        write(f"{batch_id}-failed-{retries}", 0, str(exc))
+        raise
+    write(str(batch_id), rows, None)
+
+
+def _keep(batch: DataFrame, path: str) -> int:
+    """Write a batch and return its rows, counted while they are written."""
+    seen = Observation()
+    batch.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get["rows"]
 
 
 def stream_run_metrics(spark: SparkSession, ledger: str) -> DataFrame:
@@ -105,16 +136,50 @@ def stream_refresh_features(
     history, ledger = f"{folder}/history", f"{folder}/ledger"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        started, rows = time.time(), 0
-        try:
-            part = f"{history}/batch={batch_id}"
-            batch.write.mode("overwrite").parquet(part)
-            rows = spark.read.parquet(part).count()
+        def work() -> int:
+            rows = _keep(batch, f"{history}/batch={batch_id}")
             refresh(spark.read.schema(batch.schema).parquet(history), f"{folder}/layers/{batch_id}")
-        except Exception as exc:
-            _ledger_row(spark, batch_id, started, rows, str(exc)).write.mode("overwrite").parquet(f"{ledger}/{batch_id}-failed")
-            raise
-        _ledger_row(spark, batch_id, started, rows, None).write.mode("overwrite").parquet(f"{ledger}/{batch_id}")
+            return rows
+
+        _recorded(spark, ledger, batch_id, work)
 
+    return _started(arrivals, run, folder, once)
+
+
+def _started(arrivals: DataFrame, run: Callable[[DataFrame, int], None], folder: str, once: bool) -> StreamingQuery:
     writer = arrivals.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def stream_client_features(arrivals: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
+    """Client features and enriched orders after every batch, from the batch and the clients' moments only.
+
+    A batch of orders is written to ``orders/batch=N``, its moments are merged with those of the
+    batch before into ``moments/N``, from which ``client_features/N`` follows; the orders of the batch are
+    enriched into ``enriched/batch=N`` with the features known then. No earlier order is read, so the
+    work follows the batch and the number of clients; every client's features are written
+    anew because their recency counts from the latest order of all. Outputs are named after the batch and made from the state of
+    the batch before, so a replayed batch replaces its own output and counts nothing twice.
+    Orders without ``siren`` are enriched with defaults and belong to no client.
+    """
+    spark = arrivals.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        def work() -> int:
+            part = f"{folder}/orders/batch={batch_id}"
+            rows = _keep(batch, part)
+            orders = spark.read.schema(batch.schema).parquet(part)
+            moments = clients.client_moments(orders)
+            if batch_id > 0:
+                moments = clients.merge_moments(spark.read.schema(moments.schema).parquet(f"{folder}/moments/{batch_id - 1}"), moments)
+            moments.write.mode("overwrite").parquet(f"{folder}/moments/{batch_id}")
+            state = spark.read.schema(moments.schema).parquet(f"{folder}/moments/{batch_id}")
+            features = clients.features_of_moments(state)
+            features.write.mode("overwrite").parquet(f"{folder}/client_features/{batch_id}")
+            known = spark.read.schema(features.schema).parquet(f"{folder}/client_features/{batch_id}")
+            clients.join_enrich_orders(orders, known).write.mode("overwrite").parquet(f"{folder}/enriched/batch={batch_id}")
+            return rows
+
+        _recorded(spark, f"{folder}/ledger", batch_id, work)
+
+    return _started(arrivals, run, folder, once)
