@@ -4,7 +4,7 @@ A sketch takes the ``PICKS`` smallest of a text's word k-mers, each labelled wit
 occurrence, under one hash order and keeps them in the order of the text. Texts
 with small edit distance share many sketches; shuffled texts do not. Texts that share a sketch
 are aligned with the leader of their bucket, so a bucket of like texts gives no more pairs than it
-has texts. Where this leaves a bucket in several classes, all its pairs across classes meet: word counts in bins
+has texts. Where this leaves a bucket in several classes, all its pairs across classes meet: bits of their words
 rule out most, the others are aligned.
 """
 
@@ -26,15 +26,16 @@ from priceloom.llm.tokens import C1, edit_distance, kmers, mix, together, word_h
 K = 3
 SKETCHES = 48
 PICKS = 2
-# Bins of the word counts, and texts of a bucket that meet in one tile.
-BINS = 256
+# Bits that tell the words of a text, and texts of a bucket that meet in one tile.
+BITS = 4096
 TILE = 1024
 # Pairs of two classes that a tile gives in the first round, and the factor of each further round.
 FIRST_PAIRS = 32
 MORE_PAIRS = 64
 #: Edit similarity from which two texts are linked: 1 - word edits / words of the longer one.
 SIMILARITY = 0.8
-_PLACE_BITS = np.uint64(24)
+# Places of k-mers within a text: more than a text of 2 GB has.
+_PLACE_BITS = np.uint64(32)
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -91,20 +92,28 @@ def sketches(words: np.ndarray, counts: np.ndarray, k: int = K, number: int = SK
     return out
 
 
-def word_bins(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many words of every text fall in each bin of their hash, at most 255 (texts x bins)."""
-    cell = np.repeat(np.arange(len(counts)) * BINS, counts) + (words >> np.uint64(20)).astype(np.int64) % BINS
-    return np.minimum(np.bincount(cell, minlength=len(counts) * BINS), 255).astype(np.uint8).reshape(len(counts), BINS)
+def word_bits(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One bit of ``BITS`` turned over by every word with its occurrence, a row per text: no more bits differ than words do."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    keyed = mix(words + text.astype(np.uint64) * C1)
+    order = np.argsort(keyed, kind="stable")
+    new = np.concatenate([[True], keyed[order][1:] != keyed[order][:-1]])[:len(order)]
+    nth = np.empty(len(order), dtype=np.uint64)
+    nth[order] = (np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))).astype(np.uint64)
+    place = mix(words + nth * C1) % np.uint64(BITS)
+    out = np.zeros((len(counts), BITS // 64), dtype=np.uint64)
+    np.bitwise_xor.at(out, (text, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out
 
 
-def may_match(bins: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the ``others`` may be similar enough to text i: each word that one text has more of in a bin is an edit."""
-    limit = np.floor((1 - similarity) * np.maximum(sizes[i], sizes[others]) + 1e-9)
-    others = others[np.abs(sizes[others] - sizes[i]) <= limit]
+def may_match(bits: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the ``others`` may be similar enough to text i: an edit changes at most two words, and one if it changes the length."""
+    longer = np.abs(sizes[others] - sizes[i])
     limit = np.floor((1 - similarity) * np.maximum(sizes[i], sizes[others]) + 1e-9)
-    apart = bins[others].astype(np.int16) - bins[i]
-    more = np.maximum(apart, 0).sum(axis=1)
-    return others[np.maximum(more, more - apart.sum(axis=1)) <= limit]
+    some = longer <= limit
+    others, longer, limit = others[some], longer[some], limit[some]
+    apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    return others[apart + longer <= 2 * limit]
 
 
 def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done: int, upto: int) -> DataFrame:
@@ -119,11 +128,11 @@ def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done:
     open_ = settle(sizes.where("lo <> hi and n > 2").select("s", "bucket", "blocks"), "open-buckets")
     block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
     tiled = members.join(open_, ["s", "bucket"]).join(profile, F.col("a") == F.col("_a")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("s", "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "root", "words", "bins")
+    tiled = tiled.select("s", "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "root", "words", "bits")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def of(tile, block, a, root, words, bins):
-        bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS)
+    def of(tile, block, a, root, words, bits):
+        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
         edges = np.append(np.nonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(axis=1)]))[0], len(a))
         out = []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -132,7 +141,7 @@ def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done:
                 others = np.arange(i + 1, e)
                 others = others[(root[others] != root[i]) & (True if one else block[others] != block[i])]
                 if len(others):
-                    others = may_match(bins, words, i, others, similarity)
+                    others = may_match(bits, words, i, others, similarity)
                     at = np.full(len(others), s)
                     out.append(np.stack([np.maximum(a[i], a[others]), np.minimum(a[i], a[others]), np.minimum(root[i], root[others]), np.maximum(root[i], root[others]), at]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
@@ -151,14 +160,14 @@ def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done:
         held = None
         for batch in batches:
             ints = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(8)], axis=1)
-            bins = batch.column(8).to_pylist()
+            bits = batch.column(8).to_pylist()
             if held is not None:
-                ints, bins = np.concatenate([held[0], ints]), held[1] + bins
+                ints, bits = np.concatenate([held[0], ints]), held[1] + bits
             # the last tile may go on in the next batch
             whole = int(np.argmax((ints[:, :4] == ints[-1:, :4]).all(axis=1))) if len(ints) else 0
             if whole:
-                yield of(ints[:whole, :4], *ints[:whole, 4:].T, bins[:whole])
-            held = ints[whole:], bins[whole:]
+                yield of(ints[:whole, :4], *ints[:whole, 4:].T, bits[:whole])
+            held = ints[whole:], bits[whole:]
         if held is not None and len(held[0]):
             yield of(held[0][:, :4], *held[0][:, 4:].T, held[1])
 
@@ -167,9 +176,9 @@ def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done:
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
-    """Per row: _row, doc_id, key1, key2 (hash of all words), sigs, words (number), bins."""
+    """Per row: _row, doc_id, key1, key2 (hash of all words), sigs, words (number), bits."""
     schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("sigs", pa.list_(pa.int64())),
-                        ("words", pa.int64()), ("bins", pa.binary())])
+                        ("words", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -183,14 +192,14 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
                 raw = [words[e - c:e].tobytes() for e, c in zip(ends, counts)]
                 keys = np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], dtype=np.uint64).view(np.int64).reshape(-1, 2)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, sigs.shape[1]), pa.int32()), pa.array(sigs.ravel()))
-                bins = [b.tobytes() for b in word_bins(words, counts)]
+                bits = [b.tobytes() for b in word_bits(words, counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], batch.column(1)[part], pa.array(keys[:, 0]), pa.array(keys[:, 1]), flat, pa.array(counts), pa.array(bins, type=pa.binary())],
+                    [batch.column(0)[part], batch.column(1)[part], pa.array(keys[:, 0]), pa.array(keys[:, 1]), flat, pa.array(counts), pa.array(bits, type=pa.binary())],
                     schema=schema,
                 )
 
     return docs.select("_row", F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
-        run, "_row long, doc_id long, key1 long, key2 long, sigs array<long>, words long, bins binary"
+        run, "_row long, doc_id long, key1 long, key2 long, sigs array<long>, words long, bits binary"
     )
 
 
@@ -236,6 +245,25 @@ def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of texts in different classes (``roots``: node, root), each once."""
+    one = roots.select(F.col("node").alias("_na"), F.col("root").alias("_ra"))
+    two = roots.select(F.col("node").alias("_nb"), F.col("root").alias("_rb"))
+    placed = pairs.join(one, F.col("a") == F.col("_na"), "left").join(two, F.col("b") == F.col("_nb"), "left")
+    return placed.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _joined(roots: DataFrame | None, judged: DataFrame) -> DataFrame:
+    """Classes (node, root) of the former ``roots`` and of the pairs ``judged`` (a, b, ok) alike."""
+    links = settle(judged.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")), "judged")
+    if roots is not None:
+        if links.isEmpty():
+            return roots
+        # classes so far are links of their roots
+        links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return settle(components(links), "roots")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, and _row, _root (row numbers).
 
@@ -250,8 +278,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     placed = numbered(docs.select("doc_id", "text")).select("_row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
     rows = settle(_sketch_rows(placed), "order-sketches")
     texts = settle(
-        rows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "_row", "sigs", "words", "bins")).alias("r")).select(
-            "key1", "key2", F.col("r._row").alias("a"), "r.sigs", "r.words", "r.bins"
+        rows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "_row", "sigs", "words", "bits")).alias("r")).select(
+            "key1", "key2", F.col("r._row").alias("a"), "r.sigs", "r.words", "r.bits"
         ),
         "distinct-texts",
     )
@@ -260,23 +288,21 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lead = F.struct(F.xxhash64("a", F.lit(0)).alias("h"), "a")
     buckets = waiting.groupBy("s", "bucket").agg(F.min(lead).alias("x"), F.max(lead).alias("y")).where("x <> y")
     shared = settle(waiting.join(buckets.select("s", "bucket", F.col("x.a").alias("b")), ["s", "bucket"]), "buckets")
-    pairs = settle(shared.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    met = settle(shared.where("a <> b").select("a", "b").distinct(), "meetings")
     # every text of a shared bucket meets its leader, so that these are the words of all texts below
-    words = _pair_words(placed, pairs)
-    links = settle(_similar(pairs, words, similarity), "judged").where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = settle(components(links), "roots")
+    words = _pair_words(placed, met)
+    # each text meets the first of its leaders, then those that are not yet in its class
+    first = met.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(0)).alias("h"), "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    roots = _joined(None, _similar(first, words, similarity))
+    roots = _joined(roots, _similar(_apart(met, roots), words, similarity))
     # whoever is not yet in one class with all others of its bucket meets the other classes, some pairs of two classes
     # at a time: classes that merge need no more
-    profile = texts.select(F.col("a").alias("_a"), "words", "bins")
+    profile = texts.select(F.col("a").alias("_a"), "words", "bits")
     done, upto = 0, FIRST_PAIRS
     while True:
         members = shared.select("a", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "s", "bucket", F.coalesce("root", "a").alias("root"))
         more = settle(_tile_pairs(settle(members, "bucket-members"), profile, similarity, done, upto), "further-pairs")
-        tested = settle(_similar(more.where("a >= 0"), words, similarity), "further-judged")
-        if not tested.where("ok").isEmpty():
-            # classes so far are links of their roots
-            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-            roots = settle(components(known.union(tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
+        roots = _joined(roots, _similar(more.where("a >= 0"), words, similarity))
         if more.where("a < 0").isEmpty():
             break
         done, upto = upto, upto * MORE_PAIRS

@@ -7,6 +7,8 @@ from itertools import chain
 import numpy as np
 
 MEMORY_WORDS = 400_000
+# Places of a word within a text are bits of one integer up to this many words.
+BIT_WORDS = 1 << 14
 _held: dict[str, object] = {}
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,7 +74,8 @@ def kmers(words: np.ndarray, k: int) -> np.ndarray:
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Word edit distance by banded alignment, or ``limit + 1`` if it is larger.
 
-    The band starts narrow and widens fourfold until the distance fits in it. In a band
+    Texts of at most ``BIT_WORDS`` words are aligned in a band of ``limit`` on either side, a column at a time as bits.
+    For longer ones the band starts narrow and widens fourfold until the distance fits in it; in a band
     the furthest place on every diagonal is kept per number of errors.
     """
     n, m = len(a), len(b)
@@ -91,6 +94,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     shared = np.minimum(ca, np.where(ub[at] == ua, cb[at], 0)).sum()
     if max(n, m) - shared > limit:  # too few common words for any alignment
         return limit + 1
+    if max(n, m) <= BIT_WORDS:
+        return _band_bits(a, b, limit)
     band = max(8, abs(n - m))
     while True:
         band = min(band, limit)
@@ -100,6 +105,37 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
         band *= 4
 
 
+def _band_bits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
+    """Edit distance inside the band: differences of neighbouring cells of a column are bits of two integers (Myers, Hyyrö).
+
+    Bit t of column j stands for row j - band + t. The band slides down a row per column, and the score
+    is followed along the diagonal that ends in the last cell, on which it never falls.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    band = min(limit, len(a))
+    ahead = len(a) - len(b)
+    rows: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        rows[w] = rows.get(w, 0) | 1 << i
+    mask = (1 << 2 * band + 1) - 1
+    goal = 1 << band + ahead
+    up, down, score = mask >> band << band, 0, ahead  # rows above the first have no differences
+    for j, w in enumerate(b.tolist()):
+        same = rows.get(w, 0)
+        same = (same >> j - band if j > band else same << band - j) & mask
+        level = ((((same & up) + up) ^ up) | same | down) & mask
+        right = down | (mask ^ (level | up))
+        left = level & up
+        if not level & goal:
+            score += 1
+            if score > limit:
+                return limit + 1
+        level >>= 1
+        up, down = left | (mask ^ (level | right)), level & right
+    return score
+
+
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     n, m = len(a), len(b)
     k = np.arange(-band, band + 1)

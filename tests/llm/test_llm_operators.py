@@ -312,8 +312,10 @@ def brute_distance(a, b):
 
 def test_banded_alignment_equals_the_full_table(monkeypatch):
     rng = np.random.default_rng(0)
-    for lazy in (False, True):
-        if lazy:
+    for way in ("bits", "table", "lazy"):
+        if way != "bits":
+            monkeypatch.setattr(tokens, "BIT_WORDS", 0)
+        if way == "lazy":
             monkeypatch.setattr(tokens, "_runs", None)
             monkeypatch.setattr(tokens, "_banded", _without_table(tokens._banded))
         for t in range(400):
@@ -331,6 +333,28 @@ def _without_table(banded):
     return types.FunctionType(code, banded.__globals__, "lazy")
 
 
+def test_word_bits_rule_out_no_similar_text():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, 60).astype(np.uint64)
+    texts = [words[rng.integers(0, 60, n)] for n in (0, 1, 2, 30, 90, 90, 400)]
+    for t in texts[2:]:
+        for share in (0.1, 0.2, 0.25):
+            changed = t.copy()
+            changed[rng.choice(len(t), int(share * len(t)), False)] = words[0]
+            texts += [changed, np.delete(t, rng.choice(len(t), int(share * len(t)), False))]
+    counts = np.array([len(t) for t in texts])
+    bits = order_minhash.word_bits(np.concatenate(texts), counts)
+    ruled_out = 0
+    for i in range(len(texts)):
+        others = np.delete(np.arange(len(texts)), i)
+        kept = order_minhash.may_match(bits, counts, i, others, 0.8).tolist()
+        for j in others.tolist():
+            limit = int(np.floor(0.2 * max(counts[i], counts[j]) + 1e-9))
+            ruled_out += j not in kept
+            assert j in kept or brute_distance(texts[i].tolist(), texts[j].tolist()) > limit
+    assert ruled_out > len(texts) ** 2 / 2
+
+
 def test_near_copies(docs, nothing):
     got = {}
     for r in order_minhash.near_copies(docs).collect():
