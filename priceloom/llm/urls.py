@@ -22,7 +22,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-# Levels of the tree; deeper segments share the wildcard "**".
+# Levels of the tree with one segment each; the segments below are one child more, written out.
 LEVELS = 8
 # A level with at least this many children turns those below RARE of its urls into "*".
 MANY_CHILDREN = 16
@@ -56,9 +56,9 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def shape(path: Column, levels: int = LEVELS) -> Column:
-    """The path with every run of digits written as ``#``, cut into at most ``levels`` segments and a wildcard tail."""
+    """The path with every run of digits written as ``#``, cut into ``levels`` segments and the rest of the path as one more."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), _JOINT)
-    return F.when(F.size(parts) > levels, F.concat(F.slice(parts, 1, levels), F.array(F.lit("**")))).otherwise(parts)
+    return F.when(F.size(parts) > levels, F.concat(F.slice(parts, 1, levels), F.array(F.array_join(F.slice(parts, levels + 1, F.size(parts)), _JOINT)))).otherwise(parts)
 
 
 def template_tree(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
