@@ -81,6 +81,8 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
         if state.where(~F.col("done")).limit(1).count() == 0:
             break
         state = settle(_newton(cells, state, cap), "mix-state")
+    else:
+        raise ArithmeticError(f"no mix within {STEPS} Newton steps")
     return state.select("source", "m", "largest")
 
 
@@ -119,13 +121,13 @@ def _newton(cells: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     }).drop("_s", "_f", "_d", "_step")
 
 
-def _round_cells(key, parts):
+def _round_cells(parts: pd.DataFrame, cap: float) -> pd.DataFrame:
     """Copies of each size of one source, largest size first; what rounding leaves over is carried on."""
     cells = parts.sort_values("size", ascending=False, kind="stable")
     carry, whole, extra = 0.0, [], []
     for n, size, rate in zip(cells["n"], cells["size"], cells["rate"]):
         wanted = n * rate + carry / size
-        copies = int(min(max(np.floor(wanted + 0.5), 0), CAP * n))
+        copies = int(min(max(np.floor(wanted + 0.5), 0), np.floor(cap) * n))
         carry += size * (n * rate - copies)
         whole.append(copies // n)
         extra.append(copies % n)
@@ -134,7 +136,7 @@ def _round_cells(key, parts):
 
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, order_column: str | None = None,
+    weights: tuple[float, ...] = WEIGHTS, order_column: str | None = None, cap: float = CAP,
 ) -> DataFrame:
     """Copies of every document in the mix: doc_id, source, size, source_size, target, rate, copies, taken.
 
@@ -154,16 +156,16 @@ def mix(
     )
     cells = settle(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
-    targets = settle(source_targets(sources, weights), "mix-targets")
+    targets = settle(source_targets(sources, weights, cap), "mix-targets")
     real = cells.where("size > 0")
-    multipliers = tilt(real, targets.select("source", "target"))
+    multipliers = tilt(real, targets.select("source", "target"), cap)
     power = F.col("m") * F.col("size") / F.col("largest")
     rates = real.join(multipliers, [real["source"].eqNullSafe(multipliers["source"])]).select(
         real["source"], "size", "n",
-        F.when(power >= float(np.log(CAP)), F.lit(float(CAP))).otherwise(F.exp(power)).alias("rate"),
+        F.when(power >= float(np.log(cap)), F.lit(float(cap))).otherwise(F.exp(power)).alias("rate"),
     )
     rounded = settle(
-        rates.groupBy("source").applyInPandas(_round_cells, "source string, size long, whole int, extra long")
+        rates.groupBy("source").applyInPandas(lambda parts: _round_cells(parts, cap), "source string, size long, whole int, extra long")
         .join(rates.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "rate"),
               [F.col("source").eqNullSafe(F.col("_s")), F.col("size") == F.col("_z")])
         .drop("_s", "_z"),
