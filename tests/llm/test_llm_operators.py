@@ -226,6 +226,15 @@ def test_url_rules_and_tree(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_deep_paths_are_told_apart(spark):
+    deep = "/a" * 8
+    paths = [(i, f"{deep}/{'good' if i % 2 else 'bad'}/x", i % 2 == 0) for i in range(40)]
+    pages = spark.createDataFrame([(i, f"http://deep.test{p}") for i, p, _ in paths], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in paths], "page_id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules=(), labels=labels).collect()}
+    assert got == {i: "block" if bad else "allow" for i, _, bad in paths}
+
+
 def test_url_tree_rejects_impure_templates(spark):
     pages = spark.createDataFrame(
         [(i, f"http://h.net/{'bad' if i % 2 else 'good'}/{i}.html") for i in range(200)] + [(900 + i, f"http://h.net/user{chr(97 + i % 26)}{'q' * (i // 26)}/p") for i in range(60)],
