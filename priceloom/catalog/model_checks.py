@@ -182,7 +182,7 @@ m AS (SELECT fam.family, median(ln(1 + greatest(least(unit_price, hi), lo))) AS
 j AS (SELECT m.family, med, bdefault, exp(med) - 1 < 1.2 * CASE WHEN m.family < 'M' THEN 900 ELSE bmax END AS fits FROM m JOIN bounds b ON b.family = m.family)
 SELECT family AS binding_type, CASE WHEN fits THEN 'Median_Fallback' ELSE 'Constant_Fallback' END AS model_name, round(CASE WHEN fits THEN med ELSE ln(1 + least(bdefault, 1000)) END, 6) AS intercept FROM j""")
 def fallback_median_model(spark, sf_dir):
-    rows = family_rows(spark, sf_dir)
+    rows = settle(family_rows(spark, sf_dir).select("binding_type", "unit_price"), "rows")
     _, limits = G.family_limits(rows, "binding_type")
     tight = limits.withColumn("bound_max", F.when(F.col("binding_type") < "M", 900.0).otherwise(F.col("bound_max")))
     spare = L.fallback_median_model(L.with_limits(rows, "binding_type", tight, "unit_price"), "binding_type")
