@@ -25,6 +25,11 @@ def rounded(df, digits=6, shift=0.0):
     return df.select(*out)
 
 
+def priced_once(spark, sf_dir, *columns):
+    """The columns of the priced rows, written once: means, key counts and the join back each read them."""
+    return settle(priced(spark, sf_dir).select(*columns), "priced")
+
+
 AGGREGATE = """
 agg AS (
   SELECT siren, count(*) AS client_nb_orders, avg(unit_price_ht) AS client_avg_price_ht,
@@ -66,7 +71,7 @@ WITH {PRICED}, m AS (SELECT siren, avg(unit_price_ht) AS mean FROM priced GROUP
 SELECT order_id, line_no, part_key, siren, round(coalesce(unit_price_ht / mean, 1.0), 6) AS relative_price_index
 FROM priced JOIN m USING (siren)""")
 def relative_price_index(spark, sf_dir):
-    rows = C.relative_price_index(priced(spark, sf_dir))
+    rows = C.relative_price_index(priced_once(spark, sf_dir, "order_id", "line_no", "part_key", "siren", "unit_price_ht"))
     return rows.select("order_id", "line_no", "part_key", "siren", fixed("relative_price_index", 6).alias("relative_price_index"))
 
 
@@ -74,7 +79,7 @@ def relative_price_index(spark, sf_dir):
 WITH {PRICED}, m AS (SELECT siren, coalesce(stddev_samp(unit_price_ht), 0) AS s FROM priced GROUP BY 1)
 SELECT order_id, line_no, part_key, siren, round(s, 6) AS price_volatility FROM priced JOIN m USING (siren)""")
 def price_volatility(spark, sf_dir):
-    rows = C.price_volatility(priced(spark, sf_dir))
+    rows = C.price_volatility(priced_once(spark, sf_dir, "order_id", "line_no", "part_key", "siren", "unit_price_ht"))
     return rows.select("order_id", "line_no", "part_key", "siren", fixed("price_volatility", 6).alias("price_volatility"))
 
 
@@ -85,7 +90,8 @@ SELECT siren, client_nb_orders, round(client_avg_price_ht, 6) AS client_avg_pric
        CAST(client_first_order AS VARCHAR) AS client_first_order, CAST(client_last_order AS VARCHAR) AS client_last_order
 FROM agg""")
 def client_aggregate(spark, sf_dir):
-    return rounded(C.client_aggregate(C.client_indicators(priced(spark, sf_dir))).na.fill(0.0, ["client_price_std_ht"]))
+    rows = priced_once(spark, sf_dir, "siren", "unit_price_ht", "quantity", "reception_date")
+    return rounded(C.client_aggregate(C.client_indicators(rows)).na.fill(0.0, ["client_price_std_ht"]))
 
 
 @register("client_recency_seniority", f"""
