@@ -8,6 +8,7 @@ from priceloom.catalog import register
 from priceloom.catalog.client_checks import rounded
 from priceloom.catalog.mart import OFF_HALF, SALES, fixed, r6, sales, table
 from priceloom.functions import values as V
+from priceloom.functions.scale import settle
 from priceloom.operators import bounds as B
 from priceloom.operators import quality as Q
 from priceloom.operators import ranking as R
@@ -125,7 +126,7 @@ FROM sales JOIN (SELECT binding_type, greatest({floor}, {low} * quantile_cont(un
 
 @register("clip_target", f"WITH {SALES} {_clip_sql('linear')} UNION ALL {_clip_sql('nonlinear')}")
 def clip_target(spark, sf_dir):
-    rows = sales(spark, sf_dir, part=True).select("row_key", "binding_type", "unit_price")
+    rows = settle(sales(spark, sf_dir, part=True).select("row_key", "binding_type", "unit_price"), "rows")
     parts = [
         B.clip_target(rows, "binding_type", rule=rule).select(
             F.lit(rule).alias("rule"), "row_key", fixed("price_clipped", 7).alias("price_clipped"),
