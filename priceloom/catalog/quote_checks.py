@@ -87,8 +87,10 @@ scored AS (
 
 
 def quote_rows(spark, sf_dir):
-    """Order lines as quote requests; some without a known client."""
-    rows = sales(spark, sf_dir, part=True, nation=True)
+    """Order lines as quote requests; some without a known client. Written once: models and quotes read them."""
+    rows = settle(sales(spark, sf_dir, part=True, nation=True).select(
+        "row_key", "order_id", "line_no", "binding_type", "quantity", "unit_price", "country", "siren"
+    ), "quote-rows")
     client = F.when(F.col("line_no") == 5, "NONE").when(F.col("line_no") != 4, F.col("country"))
     return rows, rows.select(
         "row_key", "order_id", "line_no", "binding_type", "quantity", "unit_price", client.alias("siren"),
@@ -193,10 +195,10 @@ confident AS (
 
 
 def confident_quotes(spark, sf_dir, maps=False):
+    # written without what no decision reads, as it reads every price several times; maps are for explanations
+    unread = ["model_version", "algorithm", "reason"] + ([] if maps else ["feature_importance"])
     quotes = scored_quotes(spark, sf_dir)
-    if not maps:
-        # written without the maps: the decision reads every price several times
-        quotes = quotes.withColumns({t: F.col(t).dropFields("feature_importance") for t in TIER_COLUMNS.values()})
+    quotes = quotes.withColumns({t: F.col(t).dropFields(*unread) for t in TIER_COLUMNS.values()})
     quotes = Q.quote_select_tier(Q.filter_available_predictions(settle(quotes, "scored")))
     chosen = F.col("selected")
     formula = F.when(chosen["strategy"] == "GLOBAL", F.col("global_prediction")["formula"]).when(
