@@ -1,10 +1,11 @@
-"""Quote queries on tables of their own."""
+"""Registered queries on tables of their own."""
 
 import datetime as dt
+import re
 
 import pytest
 
-from priceloom.catalog import quote_checks
+from priceloom.catalog import bounds_checks, client_checks, mart, model_checks, quote_checks
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,27 @@ def test_explanations_and_narratives_name_their_drivers(spark, folder):
     told = quote_checks.quote_narrative(spark, folder).collect()
     assert len(told) == 200 and all(r["answer"] for r in told)
     assert any("log_quantity" in r["answer"] for r in told if r["intent"] == "driver")
+
+
+@pytest.mark.parametrize("query", [
+    client_checks.client_aggregate, client_checks.relative_price_index, client_checks.price_volatility,
+    bounds_checks.clip_target, model_checks.fallback_median_model,
+], ids=lambda q: q.__name__)
+def test_rows_read_several_times_are_written_once(spark, folder, query):
+    out = query(spark, folder)
+    assert out.count() > 0
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_models_and_quotes_read_one_written_table(spark, folder):
+    for frame in quote_checks.quote_rows(spark, folder):
+        assert frame.count() == 200 and not [f for f in frame.inputFiles() if "lineitem" in f]
+
+
+def test_customers_meet_the_orders_before_the_lines(spark, folder):
+    plan = mart.sales(spark, folder, part=True, nation=True)._jdf.queryExecution().analyzed().toString().splitlines()
+
+    def depth(column):
+        return next(re.search("Relation", line).start() for line in plan if "Relation" in line and column in line)
+
+    assert depth("c_custkey") > depth("l_orderkey") and depth("n_nationkey") > depth("l_orderkey")
