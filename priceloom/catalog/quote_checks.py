@@ -18,7 +18,7 @@ from priceloom.operators import requests as P
 from priceloom.operators import scenarios as X
 from priceloom.operators import scoring as T
 from priceloom.operators import texts as N
-from priceloom.operators.clients import client_features
+from priceloom.operators.clients import client_features, client_mean_price
 
 # --- models with a closed form: ln(1 + price) on ln(quantity), per tier -----
 
@@ -266,9 +266,10 @@ def quote_narrative(spark, sf_dir):
 WITH {FEATURES} SELECT row_key, CASE WHEN unit_price < client_avg_price_ht THEN 'below' WHEN unit_price - client_avg_price_ht < 1e-9 THEN 'equal to' ELSE 'above' END AS price_level,
   round((unit_price - client_avg_price_ht) / client_avg_price_ht * 100, 5) AS level_percent FROM sales JOIN features USING (siren)""")
 def client_price_level(spark, sf_dir):
-    rows = sales(spark, sf_dir).select("row_key", "siren", F.col("unit_price").alias("price"))
-    features = client_features(priced_input(spark, sf_dir)).select("siren", "client_avg_price_ht")
-    leveled = Q.client_price_level(join_lookup(rows, features, ["siren"]))
+    # written once for the means, the key counts and the join
+    rows = settle(priced_input(spark, sf_dir).select("row_key", "siren", "unit_price", "tva"), "priced-rows")
+    priced = rows.select("row_key", "siren", F.col("unit_price").alias("price"))
+    leveled = Q.client_price_level(join_lookup(priced, client_mean_price(rows), ["siren"]))
     return leveled.select("row_key", "price_level", fixed("level_percent", 5).alias("level_percent"))
 
 

@@ -212,6 +212,12 @@ def client_features(
     return _filled(client_recency_seniority(clients))
 
 
+def client_mean_price(df: DataFrame) -> DataFrame:
+    """``siren`` and ``client_avg_price_ht`` as in ``client_features``, without the buffers of its other columns."""
+    rows = price_ht(df).where(F.col("siren").isNotNull())
+    return _filled(rows.groupBy("siren").agg(F.avg("unit_price_ht").alias("client_avg_price_ht")))
+
+
 # Moments of price, valid price and the logarithms: name, its count, its mean's name.
 _SPREADS = {"price_m2": ("price_n", "price_mean"), "valid_m2": ("valid_n", "valid_mean"), "log_p_m2": ("valid_n", "log_p_mean")}
 

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from priceloom.catalog import bounds_checks, client_checks, mart, model_checks, quote_checks
+from priceloom.operators import clients
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,15 @@ def test_customers_meet_the_orders_before_the_lines(spark, folder):
         return next(re.search("Relation", line).start() for line in plan if "Relation" in line and column in line)
 
     assert depth("c_custkey") > depth("l_orderkey") and depth("n_nationkey") > depth("l_orderkey")
+
+
+def test_the_price_level_needs_the_mean_price_alone(spark, folder):
+    """The rows are written once, and an order line brings no other buffers to its client than those of the mean."""
+    out = quote_checks.client_price_level(spark, folder)
+    assert out.count() == 200 and not [f for f in out.inputFiles() if "lineitem" in f]
+    priced = client_checks.priced_input(spark, folder)
+    means = clients.client_mean_price(priced)
+    assert "stddev" not in means._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["siren"]: r["client_avg_price_ht"] for r in clients.client_features(priced).collect()}
+    got = {r["siren"]: r["client_avg_price_ht"] for r in means.collect()}
+    assert got == pytest.approx(want, rel=1e-12) and len(got) == 3
