@@ -29,7 +29,9 @@ PICKS = 2
 # Bits that tell the words of a text, and texts of a bucket that meet in one tile.
 BITS = 4096
 TILE = 1024
-# Pairs of two classes that a tile gives in the first round, and the factor of each further round.
+# Words of a block, about: longer texts make smaller blocks.
+TILE_WORDS = 1 << 20
+# Pairs of two classes that a tile aligns in the first round, and the factor of each further round.
 FIRST_PAIRS = 32
 MORE_PAIRS = 64
 #: Edit similarity from which two texts are linked: 1 - word edits / words of the longer one.
@@ -116,63 +118,123 @@ def may_match(bits: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, s
     return others[apart + longer <= 2 * limit]
 
 
-def _tile_pairs(members: DataFrame, profile: DataFrame, similarity: float, done: int, upto: int) -> DataFrame:
-    """Pairs (a, b; a > b) of ``members`` (a, s, bucket, root) in one bucket, with different roots, that may match.
+_TILE = ["s", "bucket", "i", "j", "block", "a", "root", "words"]
 
-    A bucket is cut into blocks; every two blocks meet in a tile of their own, so a bucket of any size is no hot task. Of
-    the pairs between two classes, a tile gives those from number ``done`` to ``upto`` in the order of a hash, and a row of
-    -1 if there are more. As classes only grow, a pair before ``done`` was among the first of its classes in an earlier round.
-    """
-    sizes = members.groupBy("s", "bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # of two texts, one is the leader that the other has met
-    open_ = settle(sizes.where("lo <> hi and n > 2").select("s", "bucket", "blocks"), "open-buckets")
-    block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
-    tiled = members.join(open_, ["s", "bucket"]).join(profile, F.col("a") == F.col("_a")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("s", "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "root", "words", "bits")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def of(tile, block, a, root, words, bits):
-        bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
-        edges = np.append(np.nonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(axis=1)]))[0], len(a))
-        out = []
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            one = tile[s, 2] == tile[s, 3]
-            for i in range(s, e):
-                others = np.arange(i + 1, e)
-                others = others[(root[others] != root[i]) & (True if one else block[others] != block[i])]
-                if len(others):
-                    others = may_match(bits, words, i, others, similarity)
-                    at = np.full(len(others), s)
-                    out.append(np.stack([np.maximum(a[i], a[others]), np.minimum(a[i], a[others]), np.minimum(root[i], root[others]), np.maximum(root[i], root[others]), at]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
-        order = np.lexsort([mix(pairs[0].astype(np.uint64) * C1 + pairs[1].astype(np.uint64)), pairs[3], pairs[2], pairs[4]])
-        pairs = pairs[:, order]
-        if pairs.shape[1]:
-            new = np.concatenate([[True], (pairs[2:, 1:] != pairs[2:, :-1]).any(axis=0)])
-            nth = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            rest = (nth >= upto).any()
-            pairs = pairs[:2, (nth >= done) & (nth < upto)]
-            if rest:
-                pairs = np.concatenate([pairs, [[-1], [-1]]], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
 
+def _by_tile(tiled: DataFrame, of, ddl: str) -> DataFrame:
+    """``of`` (ints as ``_TILE``, lists of the further columns) of the rows of whole tiles together, in their order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            ints = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(8)], axis=1)
-            bits = batch.column(8).to_pylist()
+            ints = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(len(_TILE))], axis=1)
+            more = [batch.column(c).to_pylist() for c in range(len(_TILE), batch.num_columns)]
             if held is not None:
-                ints, bits = np.concatenate([held[0], ints]), held[1] + bits
+                ints, more = np.concatenate([held[0], ints]), [x + y for x, y in zip(held[1], more)]
             # the last tile may go on in the next batch
             whole = int(np.argmax((ints[:, :4] == ints[-1:, :4]).all(axis=1))) if len(ints) else 0
             if whole:
-                yield of(ints[:whole, :4], *ints[:whole, 4:].T, bits[:whole])
-            held = ints[whole:], bits[whole:]
+                yield of(ints[:whole], [x[:whole] for x in more])
+            held = ints[whole:], [x[whole:] for x in more]
         if held is not None and len(held[0]):
-            yield of(held[0][:, :4], *held[0][:, 4:].T, held[1])
+            yield of(*held)
+
+    key = _TILE[:4]
+    return tiled.repartition(parallelism(tiled.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(run, ddl)
+
+
+def _candidates(ints: np.ndarray, bits: np.ndarray, similarity: float):
+    """Places (first, others) of the texts of one tile that are in different classes and may match."""
+    edges = np.append(np.nonzero(np.concatenate([[True], (ints[1:, :4] != ints[:-1, :4]).any(axis=1)]))[0], len(ints))
+    block, root, words = ints[:, 4], ints[:, 6], ints[:, 7]
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        one = ints[s, 2] == ints[s, 3]
+        for i in range(s, e):
+            others = np.arange(i + 1, e)
+            others = others[(root[others] != root[i]) & (True if one else block[others] != block[i])]
+            if len(others):
+                yield s, i, may_match(bits, words, i, others, similarity)
+
+
+def _tile_texts(members: DataFrame, profile: DataFrame, similarity: float) -> DataFrame:
+    """Texts (``_TILE``) of ``members`` (a, words, s, bucket, root) that may match one of another class in their tile.
+
+    A bucket is cut into blocks of bounded rows and words; every two blocks meet in a tile of their own, so a bucket of any
+    size is no hot task. ``profile`` has _a and bits.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("words") / TILE_WORDS)).cast("int")
+    sizes = members.groupBy("s", "bucket").agg(blocks.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # of two texts, one is the leader that the other has met
+    open_ = settle(sizes.where("lo <> hi and n > 2").select("s", "bucket", "blocks"), "open-buckets")
+    block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
+    tiled = members.join(open_, ["s", "bucket"]).join(profile, F.col("a") == F.col("_a")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("s", "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "root", "words", "bits")
+
+    def of(ints, more):
+        bits = np.frombuffer(b"".join(more[0]), np.uint64).reshape(-1, BITS // 64)
+        some = np.zeros(len(ints), bool)
+        for _, i, others in _candidates(ints, bits, similarity):
+            some[others] = True
+            some[i] |= len(others) > 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in ints[some].T], names=_TILE)
+
+    return _by_tile(tiled, of, ", ".join(f"{c} long" for c in _TILE))
+
+
+def _tile_links(tiled: DataFrame, profile: DataFrame, similarity: float, done: int, upto: int) -> DataFrame:
+    """Links (a, b; a > b) of the texts ``tiled`` (``_TILE``) that join different classes.
+
+    ``profile`` has _a, bits, sigs and hashes (of the words). A pair belongs to the first sketch that its texts share. Of
+    the pairs between two classes that may match, a tile aligns those from number ``done`` to ``upto`` in the order of a hash,
+    until a link joins the two; only links come out, fewer than the tile has rows, and a row of -1 if pairs are left. As
+    classes only grow, a pair before ``done`` was among the first of its classes in an earlier round.
+    """
+    wanted = settle(tiled.select(F.col("a").alias("_w")).distinct(), "open-texts")
+    texts = profile.join(wanted.hint("shuffle_hash"), F.col("_a") == F.col("_w"), "left_semi")
+    full = tiled.join(texts, F.col("a") == F.col("_a")).select(*_TILE, "bits", "sigs", "hashes")
+
+    def linked(pairs, hashes):
+        """Those of the pairs (a, b, smaller and larger root, both places) that join classes, and what finds the class of a root then."""
+        class_of: dict[int, int] = {}
+
+        def find(r):
+            while class_of.get(r, r) != r:
+                r = class_of[r]
+            return r
+
+        out = []
+        for a, b, lo, hi, x, y in pairs.T.tolist():
+            lo, hi = find(lo), find(hi)
+            if lo != hi:
+                x, y = np.frombuffer(hashes[x], np.uint64), np.frombuffer(hashes[y], np.uint64)
+                limit = int(np.floor((1 - similarity) * max(len(x), len(y)) + 1e-9))
+                if edit_distance(x, y, limit) <= limit:
+                    class_of[max(lo, hi)] = min(lo, hi)
+                    out.append((a, b))
+        return out, find
+
+    def of(ints, more):
+        bits, sigs, hashes = np.frombuffer(b"".join(more[0]), np.uint64).reshape(-1, BITS // 64), np.array(more[1], np.int64), more[2]
+        a, root, tiles, links = ints[:, 5], ints[:, 6], {}, []
+        for start, i, others in _candidates(ints, bits, similarity):
+            others = others[~(sigs[others, :ints[i, 0]] == sigs[i, :ints[i, 0]]).any(axis=1)]
+            first = np.full(len(others), i)
+            tiles.setdefault(start, []).append(np.stack([
+                np.maximum(a[i], a[others]), np.minimum(a[i], a[others]), np.minimum(root[i], root[others]), np.maximum(root[i], root[others]), first, others,
+            ]))
+        for found in tiles.values():
+            pairs = np.concatenate(found, axis=1)
+            pairs = pairs[:, np.lexsort([mix(pairs[0].astype(np.uint64) * C1 + pairs[1].astype(np.uint64)), pairs[3], pairs[2]])]
+            new = np.concatenate([[True], (pairs[2:4, 1:] != pairs[2:4, :-1]).any(axis=0)])[:pairs.shape[1]]
+            nth = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            joined, find = linked(pairs[:, (nth >= done) & (nth < upto)], hashes)
+            links += joined
+            # the first pair after those stands for the rest of its two classes
+            if any(find(lo) != find(hi) for lo, hi in pairs[2:4, nth == upto].T.tolist()):
+                links.append((-1, -1))
+        links = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    key = ["s", "bucket", "i", "j"]
-    return tiled.repartition(parallelism(members.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    return _by_tile(full, of, "a long, b long").distinct()
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
@@ -283,7 +345,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         ),
         "distinct-texts",
     )
-    waiting = texts.where(F.element_at("sigs", 1) != 0).select("a", F.posexplode("sigs").alias("s", "bucket"))
+    waiting = texts.where(F.element_at("sigs", 1) != 0).select("a", "words", F.posexplode("sigs").alias("s", "bucket"))
     # one order of texts for all buckets, so that a group has few leaders
     lead = F.struct(F.xxhash64("a", F.lit(0)).alias("h"), "a")
     buckets = waiting.groupBy("s", "bucket").agg(F.min(lead).alias("x"), F.max(lead).alias("y")).where("x <> y")
@@ -297,12 +359,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     roots = _joined(roots, _similar(_apart(met, roots), words, similarity))
     # whoever is not yet in one class with all others of its bucket meets the other classes, some pairs of two classes
     # at a time: classes that merge need no more
-    profile = texts.select(F.col("a").alias("_a"), "words", "bits")
+    profile = texts.select(F.col("a").alias("_a"), "bits", "sigs")
+    whole = profile.join(words.select("_row", F.col("words").alias("hashes")), F.col("_a") == F.col("_row")).drop("_row")
     done, upto = 0, FIRST_PAIRS
     while True:
-        members = shared.select("a", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "s", "bucket", F.coalesce("root", "a").alias("root"))
-        more = settle(_tile_pairs(settle(members, "bucket-members"), profile, similarity, done, upto), "further-pairs")
-        roots = _joined(roots, _similar(more.where("a >= 0"), words, similarity))
+        members = shared.select("a", "words", "s", "bucket").join(roots, F.col("a") == F.col("node"), "left").select("a", "words", "s", "bucket", F.coalesce("root", "a").alias("root"))
+        tiled = settle(_tile_texts(settle(members, "bucket-members"), profile.select("_a", "bits"), similarity), "tile-texts")
+        more = settle(_tile_links(tiled, whole, similarity, done, upto), "further-pairs")
+        roots = _joined(roots, more.where("a >= 0").withColumn("ok", F.lit(True)))
         if more.where("a < 0").isEmpty():
             break
         done, upto = upto, upto * MORE_PAIRS

@@ -84,6 +84,31 @@ def test_classes_merge_over_rounds(spark, tmp_path, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_texts_of_a_bucket_that_stay_apart_give_no_rows(spark, tmp_path, monkeypatch):
+    """The same words in other orders: every two texts share sketches and all bits, and no two are near copies."""
+    monkeypatch.setattr(order_minhash, "TILE", 16)
+    rng = np.random.default_rng(4)
+    parts = [[f"w{i}x{j}" for j in range(20)] for i in range(10)]
+    texts = [sum((parts[i] for i in rng.permutation(10)), []) for _ in range(50)]
+    near = list(texts[7])
+    near[3] = "changed"
+    texts.append(near)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(path)
+    written, settle = [], order_minhash.settle
+
+    def counting(df, label="settled"):
+        out = settle(df, label)
+        if label == "further-pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "settle", counting)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_copies(spark.read.parquet(path)).collect()}
+    assert got == {i: i for i in range(50)} | {50: 7}
+    assert written and sum(written) < len(texts)
+
+
 def test_sql_checks_of_the_text_queries():
     assert {"op3_seekable_warc", "op7_uniform_threshold", "op11_value_dictionaries", "op12_permuterm_variants"} == set(registry.CHECKS)
     assert all(isinstance(sql, str) for sql in registry.CHECKS.values())
