@@ -605,6 +605,40 @@ def test_toxicity_is_learned(spark):
     assert toxicity.classify(docs.where("doc_id < 0"), marks).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Every labelled row outside the held-out slot is trained on or calibrates, in several shards."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    rng = np.random.default_rng(2)
+    n = 8000
+    rows = [(i, " ".join(["vileword"] * (i % 2) + list(words(rng, 8))), "en") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    used, settled = {}, toxicity.settle
+    monkeypatch.setattr(toxicity, "settle", lambda df, label: used.setdefault(label, settled(df, label)))
+    model, limits = toxicity.fit(docs, marks)
+    usable = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(n))
+    assert usable > 5000 and used["labelled-words"].count() == usable
+    assert 0.15 < used["calibration"].count() / usable < 0.25
+    scores = model.scores([toxicity.Words()(r[1]) for r in rows[:400]])
+    assert ((scores >= limits["en"]) == np.arange(400) % 2).mean() > 0.98
+
+
+def test_shards_average_to_one_model(spark):
+    start = toxicity.new_model()
+    trainers = [toxicity._Trainer(start) for _ in range(2)]
+    read = toxicity.Words()
+    for t, text in zip(trainers, ("only here both", "both there")):
+        for _ in range(1 if text == "both there" else 3):
+            t.step([read(text)], np.ones(1), np.ones(1))
+    both = spark.createDataFrame([r for t in trainers for r in t.parts().to_pylist()], toxicity._PARTS_DDL)
+    got = toxicity._averaged(start, both.coalesce(1).mapInArrow(toxicity._merge, toxicity._PARTS_DDL).collect())
+    n = np.array([t.touches for t in trainers], float)
+    want = sum(t.model.embed * k[:, None] for t, k in zip(trainers, n)) / np.maximum(n.sum(axis=0), 1)[:, None]
+    some = n.sum(axis=0) > 0
+    assert some.any() and np.allclose(got.embed[some], want[some], atol=1e-6) and (got.embed[~some] == start.embed[~some]).all()
+    assert np.allclose(got.out, (3 * trainers[0].model.out + trainers[1].model.out) / 4, atol=1e-6)
+
+
 def test_pooling_does_not_depend_on_batches():
     model = toxicity.new_model(3)
     rng = np.random.default_rng(0)
