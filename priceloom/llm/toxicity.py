@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import settle
-from priceloom.llm.common import bounded_batches, crc_slot, parallelism, table, text_of
+from priceloom.llm.common import bounded_batches, crc_slot, parallelism, release, table, text_of
 from priceloom.llm.tokens import remembered
 
 # About so many labelled rows train one copy of the model; there are as many shards as the rows need.
@@ -321,10 +321,12 @@ def train(rows: DataFrame, counts: dict[int, int]) -> Model:
                 yield trainer.parts()
 
         dealt = rows.select(F.pmod("_n", F.lit(shards)).alias("_shard"), "_toxic", "words", F.xxhash64("_n", F.lit(turn)).alias("_order"))
-        copies = dealt.repartition(min(shards, 4 * parallelism(spark)), "_shard").sortWithinPartitions("_shard", "_order").drop("_order").mapInArrow(run, _PARTS_DDL)
+        copies = dealt.repartition(max(shards, 4 * parallelism(spark)), "_shard").sortWithinPartitions("_shard", "_order").drop("_order").mapInArrow(run, _PARTS_DDL)
         # the parts of one model
         model = _averaged(model, copies.repartition(BUCKETS // BLOCK + 1, "block").mapInArrow(_merge, _PARTS_DDL).collect())
+        del dealt, copies
         shared.unpersist()
+        release(spark)
     return model
 
 
@@ -395,8 +397,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, float]]:
     bounded_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_toxic in (0, 1)")
     usable = usable.where(F.col("_id").isNotNull() & (crc_slot("_id", HELD_OUT_OF) != HELD_OUT)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    known = docs.select("doc_id", text_of().alias("text"), F.col("lang").cast("string").alias("lang")).join(usable, F.col("doc_id") == F.col("_id"))
-    rows = settle(_word_rows(known.withColumn("_n", F.xxhash64("_id"))), "labelled-words")
+    known = docs.select("doc_id", F.struct(text_of().alias("text"), F.col("lang").cast("string").alias("lang")).alias("doc")).join(
+        usable.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")
+    )
+    # a repeated id counts once; the rows lie by id already
+    known = known.groupBy("doc_id").agg(F.min("doc").alias("doc"), F.min("_toxic").alias("_toxic")).select(F.xxhash64("doc_id").alias("_n"), "_toxic", "doc.lang", "doc.text")
+    rows = settle(_word_rows(known), "labelled-words")
+    del known
+    release(docs.sparkSession)  # the texts that met their labels
     held = F.pmod(F.shiftright("_n", 32), F.lit(5)) == 0
     counts = {(r["_toxic"], r["held"]): r["n"] for r in rows.groupBy("_toxic", held.alias("held")).agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = {k: counts.get((k, False), 0) + counts.get((k, True), 0) for k in (0, 1)}

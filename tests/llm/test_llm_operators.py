@@ -611,7 +611,7 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     rng = np.random.default_rng(2)
     n = 8000
     rows = [(i, " ".join(["vileword"] * (i % 2) + list(words(rng, 8))), "en") for i in range(n)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
     used, settled = {}, toxicity.settle
     monkeypatch.setattr(toxicity, "settle", lambda df, label: used.setdefault(label, settled(df, label)))
