@@ -2,7 +2,7 @@
 
 Every context word is a restaurant whose customers are the words that follow it;
 their tables are the customers of one parent restaurant, whose base is uniform. Seating is sampled
-by Gibbs moves: a random customer leaves and sits down again, at a table in proportion to
+by Gibbs moves: every customer leaves and sits down again, at a table in proportion to
 its size less the discount, or at a new one in proportion to the parent's probability.
 Predictive probabilities are averaged over the last sweeps, restaurant by restaurant.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.functions.scale import fresh_path, settle
-from priceloom.llm.common import bounded_batches, crc_slot, parallelism, release, table, text_of
+from priceloom.llm.common import bounded_batches, crc_slot, forget, parallelism, release, table, text_of
 from priceloom.llm.tokens import C1, mix, word_hashes
 
 HELD_OUT_OF = 7
@@ -33,11 +33,22 @@ HELD_OUT = 2
 # Tokens of a chunk, and of a bucket.
 CHUNK_TOKENS = 1_200_000
 BUCKET_TOKENS = 1_500_000
+# The chunks are scored in so many parts, one after another.
+PARTS = 2
 STRENGTH = 1.0
 SWEEPS = 3
 AVERAGED = 2
-#: Gibbs moves of every word pair in a sweep.
-MOVES = 2
+#: Gibbs moves of every customer in a sweep.
+MOVES = 1
+# Sizes of the tables of few customers, and in how many ways they are seated so.
+SEATINGS = {
+    1: [(1, (1,))],
+    2: [(1, (2,)), (1, (1, 1))],
+    3: [(1, (3,)), (3, (2, 1)), (1, (1, 1, 1))],
+    4: [(1, (4,)), (4, (3, 1)), (3, (2, 2)), (6, (2, 1, 1)), (1, (1, 1, 1, 1))],
+}
+# Dishes of which fewer than this have customers left to move are reseated one by one.
+FEW_DISHES = 48
 _SHIFT = np.uint64(16)
 # The end of a text, and the context of its first word; no word hashes white space.
 _END_TEXT = b"\n"
@@ -151,6 +162,21 @@ class _Chunk:
 
 
 def _ask_words(parts: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and word bucket: its words."""
+    schema = pa.schema([("wb", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                vocab = _widen(packed.as_py(), np.uint64, True)
+                order, ends = _by_bucket(_word_bucket(vocab >> _SHIFT, buckets), buckets)
+                rows = [(b, chunk, _squeeze(vocab[order[s:e]], True)) for b, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return parts.select("chunk", "vocab").mapInArrow(run, "wb long, chunk long, words binary")
+
+
+def _told_words(parts: DataFrame, buckets: int) -> DataFrame:
     """Per chunk and word bucket: its words and how often they occur in training texts."""
     schema = pa.schema([("wb", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("n", pa.binary())])
 
@@ -258,39 +284,113 @@ def _gather_pairs(buckets: int):
 
 
 def reseat(sizes: np.ndarray, begins: np.ndarray, counts: np.ndarray, weight: np.ndarray, discount: float, moves: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """``moves`` Gibbs moves of every dish of many restaurants at once.
+    """``moves`` Gibbs moves of every customer of many dishes at once.
 
     ``sizes`` are the tables of all dishes one after another, ``begins`` where those of a dish start,
-    ``counts`` its customers, ``weight`` what a new table weighs. A customer taken at random leaves its table and
-    sits down again; empty tables go. Returns the new sizes and begins.
+    ``counts`` its customers, ``weight`` what a new table weighs. Customers leave one after the other, in a random
+    order, and sit down again; empty tables go. All customers of a dish of up to four are seated at once, by the
+    chances of all their seatings, where such moves lead. Returns the new sizes and begins.
     """
+    if not moves:
+        return sizes, begins
+    n_tables = np.diff(np.append(begins, len(sizes)))
+    # the dishes that can change, those of many customers first: they take part in more rounds
+    busy = np.nonzero(counts > max(SEATINGS))[0]
+    busy = busy[np.argsort(-counts[busy], kind="stable")]
+    c, w, t = counts[busy].astype(np.int64), weight[busy], n_tables[busy]
+    start = np.cumsum(c) - c
+    # a dish has as many places for tables as customers
+    place = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+    taken, at = np.repeat(start, t) + place, np.repeat(begins[busy], t) + place
+    kind = np.int32 if c.sum() < 2**31 else np.int64
+    people = np.zeros(c.sum(), kind)
+    people[taken] = sizes[at]
+    seat = np.repeat(taken, sizes[at]).astype(kind)
+    free = np.arange(len(seat), dtype=kind) + np.repeat(t, c).astype(kind)
+    top = start + c - t
     for _ in range(moves):
-        n_tables = np.diff(np.append(begins, len(sizes)))
-        dish = np.repeat(np.arange(len(begins)), n_tables)
-        total = np.cumsum(sizes)
-        before = total[begins] - sizes[begins]
-        leave = np.searchsorted(total, before + np.floor(rng.random(len(begins)) * counts), side="right")
-        sizes = sizes.copy()
-        sizes[leave] -= 1
-        live = n_tables - (sizes[leave] == 0)
-        mass = np.where(sizes > 0, sizes - discount, 0.0)
-        total = np.cumsum(mass)
-        before = total[begins] - mass[begins]
-        drawn = rng.random(len(begins)) * (counts - 1 - discount * live + weight)
-        fits = drawn < counts - 1 - discount * live
-        at = np.clip(np.searchsorted(total, before + drawn, side="right"), begins, begins + n_tables - 1)
-        at = np.where(sizes[at] > 0, at, leave)  # rounding at the edge of an empty table
-        fits &= sizes[at] > 0
-        sizes[at[fits]] += 1
-        # new tables are put after the dish's own
-        opened = np.nonzero(~fits)[0]
-        ends = (begins + n_tables)[opened]
-        sizes = np.insert(sizes, ends, 1)
-        dish = np.insert(dish, ends, opened)
-        keep = sizes > 0
-        sizes, dish = sizes[keep], dish[keep]
-        begins = np.searchsorted(dish, np.arange(len(begins)))
-    return sizes, begins
+        left, k = len(busy), 0
+        while left:
+            left = int(np.searchsorted(-c[:left], -k, side="left"))
+            if left < FEW_DISHES:
+                for i in range(left):
+                    top[i] = _reseat_one(seat, people, free, int(start[i]), int(c[i]), int(top[i]), float(w[i]), discount, k, rng)
+                break
+            who = start[:left] + k
+            drawn = who + (rng.random(left) * (c[:left] - k)).astype(np.int64)
+            table = seat[drawn]
+            seat[drawn] = seat[who]
+            people[table] -= 1
+            gone = np.nonzero(people[table] == 0)[0]
+            free[top[gone]] = table[gone]
+            top[gone] += 1
+            # beside another customer, and with a chance of discount / size not after all
+            waiting, others = np.arange(left), c[:left] - 1
+            while len(waiting):
+                drawn = rng.random(len(waiting)) * (others[waiting] + w[waiting])
+                step = drawn.astype(np.int64)
+                opens = step >= others[waiting]
+                # the k-th place, that of the customer who stands, is none of the others
+                beside = seat[start[waiting] + np.where(opens, k, k + 1 + step) % c[waiting]]
+                stays = opens | ((drawn - step) * people[beside] < people[beside] - discount)
+                new, old = waiting[stays & opens], waiting[stays & ~opens]
+                table[old] = beside[stays & ~opens]
+                top[new] -= 1
+                table[new] = free[top[new]]
+                waiting = waiting[~stays]
+            people[table] += 1
+            seat[who] = table
+            k += 1
+    live = np.nonzero(people)[0]
+    dish, out = [np.repeat(busy, c)[live]], [people[live]]
+    for count, ways in SEATINGS.items():
+        few = np.nonzero(counts == count)[0]
+        chance = [
+            n * np.prod([j - discount for size in way for j in range(1, size)]) * weight[few] ** (len(way) - 1) for n, way in ways
+        ]
+        upto = np.cumsum(chance, axis=0)
+        way_of = (rng.random(len(few)) * upto[-1] >= upto[:-1]).sum(axis=0)
+        for i, (_, way) in enumerate(ways):
+            mine = few[way_of == i]
+            dish.append(np.repeat(mine, len(way)))
+            out.append(np.tile(np.array(way), len(mine)))
+    dish = np.concatenate(dish)
+    order = np.argsort(dish, kind="stable")
+    return np.concatenate(out).astype(sizes.dtype)[order], np.searchsorted(dish[order], np.arange(len(begins)))
+
+
+def _reseat_one(seat: np.ndarray, people: np.ndarray, free: np.ndarray, start: int, count: int, top: int, weight: float, discount: float, k: int, rng) -> int:
+    """The moves of the customers of one dish from the ``k``-th on, as ``reseat`` makes them; its free places then end at the number returned."""
+    seat, people, free = memoryview(seat), memoryview(people), memoryview(free)
+    others, drawn, order = count - 1, iter(()), iter(())
+    for k in range(k, count):
+        x = next(order, None)
+        if x is None:
+            order = iter(rng.random(min(1 << 16, count - k)).tolist())
+            x = next(order)
+        who = start + k + int(x * (count - k))
+        table = seat[who]
+        seat[who] = seat[start + k]
+        people[table] -= 1
+        if not people[table]:
+            free[top] = table
+            top += 1
+        while True:
+            x = next(drawn, None)
+            if x is None:
+                drawn = iter((rng.random(min(1 << 16, 2 * (count - k) + 8)) * (others + weight)).tolist())
+                x = next(drawn)
+            step = int(x)
+            if step >= others:
+                top -= 1
+                table = free[top]
+                break
+            table = seat[start + (k + 1 + step) % count]
+            if (x - step) * people[table] < people[table] - discount:
+                break
+        people[table] += 1
+        seat[start + k] = table
+    return top
 
 
 def first_seats(counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -513,9 +613,9 @@ class _Packets:
         read = self.spark.read.schema(self.schema).parquet(self.path)
         return read.where(F.col("kind") == kind).select(*self.schema.fieldNames())
 
-    def forget(self) -> None:
-        """Remove the table once nothing reads it any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def forget(self, kind: str | None = None) -> None:
+        """Remove the table, or the packets of one kind, once nothing reads them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + (f"/kind={kind}" if kind else ""))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -543,8 +643,8 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
     parts = settle(chunks(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())), "lm-chunks")
     tokens = parts.select(F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda a, d: a + d["n"]))).first()[0] or 0
     buckets = max(parallelism(spark), -(-tokens // BUCKET_TOKENS))
-    asked = settle(_ask_words(parts, buckets), "lm-words")
-    counted = settle(asked.groupBy("wb").applyInPandas(_count_words, "wb long, words binary, n binary, tokens long, types long"), "lm-counts")
+    counted = settle(_told_words(parts, buckets).groupBy("wb").applyInPandas(_count_words, "wb long, words binary, n binary, tokens long, types long"), "lm-counts")
+    release(spark)
     total, types = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     hot_counts = _frequent(counted, total / (4 * buckets))
     hot_ids = np.array(sorted(hot_counts), dtype=np.uint64)
@@ -558,7 +658,7 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
     singles = settle(gathered("single").groupBy("a").applyInPandas(_merge_singles(), _PACKETS), "lm-singles")
     hot = {i: (c, 0.0) for i, c in hot_counts.items()}
     hot = _hot_tables(static, hot)
-    words, parents = [], []
+    words, parents, tolds = [], [], []
     for sweep in range(sweeps):
         averaged = sweep >= sweeps - kept
         tables = (gathered if seats is None else seats)("tables").select(*columns)
@@ -568,6 +668,7 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
         if averaged:
             words.append(told("word").withColumn("x", F.lit(float(len(parents)))))
             parents.append(parent)
+            tolds.append(told)
         answers = told("answer").groupBy(F.col("a").alias("_a")).agg(F.collect_list(F.struct("b", "p1")).alias("answers"))
         ready = _with_seats(static, seats).join(answers, F.col("a") == F.col("_a"), "left").select(
             *columns, "seats", "starts", "sums", F.coalesce("answers", F.array()).alias("answers")
@@ -591,27 +692,41 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
     values = settle(state.join(index, F.col("a") == F.col("_b")).select("a", "p3", "sums", "asked").mapInArrow(
         _answer_pairs(discount, kept), "chunk long, ub long, values binary"
     ), "lm-pair-values")
+    del index
+    gathered.forget("index")
     release(spark)
-    values = values.groupBy(F.col("chunk").alias("_c1")).agg(F.collect_list(F.struct("ub", "values")).alias("pair_values"))
     restaurants = state.mapInArrow(_restaurants(kept, buckets), _PACKETS)
     blank = {c: F.lit(None).cast("binary") for c in ("p3", "p4", "p5", "p6")} | {"x": F.lit(0.0), "y": F.lit(0.0)}
     of_counts = counted.select(F.lit("counts").alias("kind"), F.col("wb").alias("a"), F.lit(0).cast("long").alias("b"), F.col("words").alias("p1"), F.col("n").alias("p2")).withColumns(blank)
-    of_asked = asked.select(F.lit("asked").alias("kind"), F.col("wb").alias("a"), F.col("chunk").alias("b"), F.col("words").alias("p1"), F.lit(None).cast("binary").alias("p2")).withColumns(blank)
+    of_asked = _ask_words(parts, buckets).select(F.lit("asked").alias("kind"), F.col("wb").alias("a"), F.col("chunk").alias("b"), F.col("words").alias("p1"), F.lit(None).cast("binary").alias("p2")).withColumns(blank)
     everything = restaurants.select(*columns).union(of_counts.select(*columns)).union(of_asked.select(*columns))
     for w in words:
         everything = everything.union(w.select(*columns))
     word_values = settle(everything.groupBy("a").applyInPandas(
         _answer_words(parents, discount), "chunk long, wb long, n binary, p binary, open binary, all binary"
     ), "lm-word-values")
-    for table_ in (gathered, seats):
+    for table_ in (gathered, seats, *tolds):
         table_.forget()
-    del state, index, everything, restaurants, static
+    for table_ in (counted, singles):
+        forget(table_)
+    del state, everything, restaurants, static
     release(spark)
-    word_values = word_values.groupBy(F.col("chunk").alias("_c2")).agg(F.collect_list(F.struct("wb", "n", "p", "open", "all")).alias("word_values"))
-    full = parts.join(word_values, F.col("chunk") == F.col("_c2")).join(values, F.col("chunk") == F.col("_c1"))
-    return full.select("chunk", "docs", "vocab", "tokens", "word_values", "pair_values").mapInArrow(
-        _score(hot_ids, buckets, total, types), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    ).withColumn("train_tokens", F.lit(total).cast("long"))
+    scored = None
+    # chunks meet their answers in parts, one after another, so that the chunks of one part alone are shuffled at a time
+    for part in range(PARTS):
+        mine = [x.where(F.pmod(F.xxhash64("chunk"), F.lit(PARTS)) == part) for x in (parts, word_values, values)]
+        of_words = mine[1].groupBy(F.col("chunk").alias("_c2")).agg(F.collect_list(F.struct("wb", "n", "p", "open", "all")).alias("word_values"))
+        of_pairs = mine[2].groupBy(F.col("chunk").alias("_c1")).agg(F.collect_list(F.struct("ub", "values")).alias("pair_values"))
+        full = mine[0].join(of_words, F.col("chunk") == F.col("_c2")).join(of_pairs, F.col("chunk") == F.col("_c1"))
+        one = settle(full.select("chunk", "docs", "vocab", "tokens", "word_values", "pair_values").mapInArrow(
+            _score(hot_ids, buckets, total, types), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        ), "lm-scores")
+        scored = one if scored is None else scored.union(one)
+        del mine, of_words, of_pairs, full
+        release(spark)
+    for table_ in (parts, word_values, values):
+        forget(table_)
+    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def _with_seats(static: DataFrame, seats: _Packets | None) -> DataFrame:

@@ -719,6 +719,36 @@ def test_gibbs_moves_keep_customers_and_reach_the_posterior():
     assert np.abs(seen - p).max() < 0.03
 
 
+@pytest.mark.parametrize("dishes", [1, 200])
+def test_every_customer_of_a_frequent_dish_moves(dishes):
+    """Frequent dishes that start with a table per customer have few tables after some sweeps."""
+    rng = np.random.default_rng(3)
+    counts = np.append(np.full(dishes, 400), [1, 1])
+    sizes, begins = np.ones(counts.sum(), np.int64), np.cumsum(counts) - counts
+    for _ in range(5):
+        sizes, begins = pitman_yor.reseat(sizes, begins, counts, np.full(len(counts), 0.5), 0.3, 1, rng)
+        assert (np.add.reduceat(sizes, begins) == counts).all() and (sizes > 0).all()
+    tables = np.diff(np.append(begins, len(sizes)))
+    assert tables[:-2].max() < 80 and (tables[-2:] == 1).all()
+
+
+@pytest.mark.parametrize("dishes", [1, 200])
+def test_frequent_dishes_reach_the_posterior(dishes):
+    """Mean tables of dishes of 20 customers, moved one by one or many at once."""
+    rng = np.random.default_rng(4)
+    c, weight, d = 20, 0.5, 0.3
+    sizes, begins, counts, seen = np.full(dishes, c), np.arange(dishes), np.full(dishes, c), []
+    for sweep in range(40 if dishes > 1 else 4000):
+        sizes, begins = pitman_yor.reseat(sizes, begins, counts, np.full(dishes, weight), d, 1, rng)
+        seen += np.diff(np.append(begins, len(sizes))).tolist() if sweep >= 10 else []
+    stirling = {(1, 1): 1.0}
+    for m in range(1, c):
+        for t in range(1, m + 2):
+            stirling[(m + 1, t)] = stirling.get((m, t - 1), 0.0) + (m - d * t) * stirling.get((m, t), 0.0)
+    p = np.array([weight**t * stirling[(c, t)] for t in range(1, c + 1)])
+    assert np.mean(seen) == pytest.approx((np.arange(1, c + 1) * p).sum() / p.sum(), rel=0.05)
+
+
 def test_packed_integers_round_trip():
     rng = np.random.default_rng(0)
     for a, delta in ((np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), True), (rng.normal(size=5), False), (np.zeros(0, np.int32), False), (np.zeros(0, np.uint64), True)):
