@@ -753,3 +753,21 @@ def test_packed_integers_round_trip():
     rng = np.random.default_rng(0)
     for a, delta in ((np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), True), (rng.normal(size=5), False), (np.zeros(0, np.int32), False), (np.zeros(0, np.uint64), True)):
         assert (pitman_yor._widen(pitman_yor._squeeze(a, delta), a.dtype, delta) == a).all()
+
+
+def test_words_are_hashed_alike_and_not_remembered():
+    import random
+
+    import xxhash
+
+    rnd = random.Random(5)
+    texts = [b"", b" \t", b"\x00 \x00\x00", "ÉTÉ Été".encode(), b"\x1c\x85\xa0 x", b" ".join(b"Q" * n for n in range(50))]
+    texts += [bytes(rnd.choice(b"abZ \n\t\x0b\x0c\r\x1c\x00\xff") for _ in range(rnd.randrange(90))) for _ in range(200)]
+    tokens._held["another"] = {}
+    words, counts = tokens.word_hashes(texts)
+    split = [t.lower().split() for t in texts]
+    assert counts.tolist() == [len(s) for s in split]
+    assert words.tolist() == [xxhash.xxh64_intdigest(w) for s in split for w in s]
+    # neither a dictionary of words stays in the worker nor what another operator left there
+    assert not tokens._held
+    assert [len(x) for x in tokens.word_hashes([])] == [0, 0]
