@@ -166,7 +166,11 @@ def _tile_texts(members: DataFrame, profile: DataFrame, similarity: float) -> Da
     # of two texts, one is the leader that the other has met
     open_ = settle(sizes.where("lo <> hi and n > 2").select("s", "bucket", "blocks"), "open-buckets")
     block = F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int")
-    tiled = members.join(open_, ["s", "bucket"]).join(profile, F.col("a") == F.col("_a")).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(open_, ["s", "bucket"]).select("a", "root", "words", F.struct("s", "bucket", "blocks", block.alias("block")).alias("tile"))
+    # a text meets its bits once, whatever the number of its buckets; a sketch of a text is one row
+    once = placed.groupBy("a").agg(F.first("root").alias("root"), F.first("words").alias("words"), F.collect_list("tile").alias("tiles"))
+    each = once.join(profile, F.col("a") == F.col("_a")).select("a", "root", "words", "bits", F.explode("tiles").alias("tile")).select("a", "root", "words", "bits", "tile.*")
+    tiled = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("s", "bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "a", "root", "words", "bits")
 
     def of(ints, more):
@@ -188,9 +192,10 @@ def _tile_links(tiled: DataFrame, profile: DataFrame, similarity: float, done: i
     until a link joins the two; only links come out, fewer than the tile has rows, and a row of -1 if pairs are left. As
     classes only grow, a pair before ``done`` was among the first of its classes in an earlier round.
     """
-    wanted = settle(tiled.select(F.col("a").alias("_w")).distinct(), "open-texts")
-    texts = profile.join(wanted.hint("shuffle_hash"), F.col("_a") == F.col("_w"), "left_semi")
-    full = tiled.join(texts, F.col("a") == F.col("_a")).select(*_TILE, "bits", "sigs", "hashes")
+    # a text meets its words once, whatever the number of its tiles
+    tiles = tiled.groupBy("a").agg(F.collect_list(F.struct(*_TILE)).alias("tiles"))
+    wanted = settle(tiles.select(F.col("a").alias("_w"), "tiles"), "open-texts")
+    full = profile.join(wanted.hint("shuffle_hash"), F.col("_a") == F.col("_w")).select(F.explode("tiles").alias("tile"), "bits", "sigs", "hashes").select("tile.*", "bits", "sigs", "hashes")
 
     def linked(pairs, hashes):
         """Those of the pairs (a, b, smaller and larger root, both places) that join classes, and what finds the class of a root then."""

@@ -771,3 +771,15 @@ def test_words_are_hashed_alike_and_not_remembered():
     # neither a dictionary of words stays in the worker nor what another operator left there
     assert not tokens._held
     assert [len(x) for x in tokens.word_hashes([])] == [0, 0]
+
+
+def test_a_text_meets_its_bits_once_whatever_its_buckets(spark):
+    rows = [(a, 10, s, s, 0 if a < 3 else a) for a in range(4) for s in range(1, 13)]
+    members = spark.createDataFrame(rows, "a long, words long, s int, bucket long, root long")
+    bits = bytearray(bytes(order_minhash.BITS // 8))
+    profile = spark.createDataFrame([(a, bits) for a in range(4)], "_a long, bits binary")
+    found = order_minhash._tile_texts(members, profile, 0.8)
+    # lists of buckets are made flat above the join with the bits, not below it
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("explode(tiles") < plan.find("Join")
+    assert sorted((r["a"], r["s"]) for r in found.collect()) == sorted((a, s) for a, _, s, _, _ in rows)
