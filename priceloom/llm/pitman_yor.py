@@ -33,7 +33,7 @@ HELD_OUT = 2
 # Tokens of a chunk, and of a bucket.
 CHUNK_TOKENS = 1_200_000
 BUCKET_TOKENS = 1_500_000
-# The chunks are scored in so many parts, one after another.
+# Context buckets gather their pairs, and chunks are scored, in so many parts, one after another.
 PARTS = 2
 STRENGTH = 1.0
 SWEEPS = 3
@@ -201,7 +201,8 @@ def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
                          "tokens": [int(count.sum())], "types": [int((count > 0).sum())]})
 
 
-def _ask_pairs(parts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def _ask_pairs(parts: DataFrame, hot: np.ndarray, buckets: int, part: int) -> DataFrame:
+    """Per chunk and context bucket of the ``part``: its word pairs and how often they occur in training texts."""
     schema = pa.schema([("ub", pa.int64()), ("chunk", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,7 @@ def _ask_pairs(parts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 u, w = ids[kinds // len(ids)], ids[kinds % len(ids)]
                 order, ends = _by_bucket(_pair_bucket(u, w, hot, buckets), buckets)
                 for b, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
-                    if e > s:
+                    if e > s and b % PARTS == part:
                         o = order[s:e]
                         row = (b, c.chunk, _squeeze(u[o], True), _squeeze(w[o]), _squeeze(n[o].astype(np.int32)))
                         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
@@ -607,7 +608,10 @@ class _Packets:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark, self.schema, self.path = df.sparkSession, df.schema, fresh_path(df.sparkSession, label)
-        df.write.partitionBy("kind").parquet(self.path)
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").partitionBy("kind").parquet(self.path)
 
     def __call__(self, kind: str) -> DataFrame:
         read = self.spark.read.schema(self.schema).parquet(self.path)
@@ -648,14 +652,23 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
     total, types = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     hot_counts = _frequent(counted, total / (4 * buckets))
     hot_ids = np.array(sorted(hot_counts), dtype=np.uint64)
-    gathered = _Packets(_ask_pairs(parts, hot_ids, buckets).groupBy("ub").applyInPandas(_gather_pairs(buckets), _PACKETS), "lm-pairs")
-    release(spark)
+    # in parts, so that the pairs of one part alone are shuffled at a time
+    gathered = None
+    for part in range(PARTS):
+        pairs = _ask_pairs(parts, hot_ids, buckets, part).groupBy("ub").applyInPandas(_gather_pairs(buckets), _PACKETS)
+        if gathered is None:
+            gathered = _Packets(pairs, "lm-pairs")
+        else:
+            gathered.add(pairs)
+        del pairs
+        release(spark)
     once, twice = gathered("state").agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     discount = min(max((once + 0.5) / (once + 2 * twice + 1), 0.1), 0.95)
     parent = _Parent(discount, 0.5, types, float(max(types, 1)), float(max(types, 1)))
     columns = [f.name for f in _PACKET_SCHEMA]
     static, seats = gathered("state"), None
     singles = settle(gathered("single").groupBy("a").applyInPandas(_merge_singles(), _PACKETS), "lm-singles")
+    gathered.forget("single")
     hot = {i: (c, 0.0) for i, c in hot_counts.items()}
     hot = _hot_tables(static, hot)
     words, parents, tolds = [], [], []
@@ -673,11 +686,12 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
         ready = _with_seats(static, seats).join(answers, F.col("a") == F.col("_a"), "left").select(
             *columns, "seats", "starts", "sums", F.coalesce("answers", F.array()).alias("answers")
         )
+        # the tables told of the sweep before are in ``told``
+        (gathered if seats is None else seats).forget("tables")
         former, seats = seats, _Packets(ready.mapInArrow(_seat(parent, hot, sweep, averaged, buckets), _STATE), "lm-seats")
         if former is not None:
             former.forget()
-        if not averaged:
-            told.forget()
+        told.forget("answer" if averaged else None)
         del ready, answers, tables
         release(spark)
         hot = {
@@ -695,36 +709,41 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS, kept: int = AVERAGED) ->
     del index
     gathered.forget("index")
     release(spark)
-    restaurants = state.mapInArrow(_restaurants(kept, buckets), _PACKETS)
+    restaurants = settle(state.mapInArrow(_restaurants(kept, buckets), _PACKETS).select(*columns), "lm-restaurants")
+    for table_ in (gathered, seats):
+        table_.forget()
+    forget(singles)
+    del state, static
+    release(spark)
     blank = {c: F.lit(None).cast("binary") for c in ("p3", "p4", "p5", "p6")} | {"x": F.lit(0.0), "y": F.lit(0.0)}
     of_counts = counted.select(F.lit("counts").alias("kind"), F.col("wb").alias("a"), F.lit(0).cast("long").alias("b"), F.col("words").alias("p1"), F.col("n").alias("p2")).withColumns(blank)
-    of_asked = _ask_words(parts, buckets).select(F.lit("asked").alias("kind"), F.col("wb").alias("a"), F.col("chunk").alias("b"), F.col("words").alias("p1"), F.lit(None).cast("binary").alias("p2")).withColumns(blank)
-    everything = restaurants.select(*columns).union(of_counts.select(*columns)).union(of_asked.select(*columns))
+    known = restaurants.union(of_counts.select(*columns))
     for w in words:
-        everything = everything.union(w.select(*columns))
-    word_values = settle(everything.groupBy("a").applyInPandas(
-        _answer_words(parents, discount), "chunk long, wb long, n binary, p binary, open binary, all binary"
-    ), "lm-word-values")
-    for table_ in (gathered, seats, *tolds):
-        table_.forget()
-    for table_ in (counted, singles):
-        forget(table_)
-    del state, everything, restaurants, static
-    release(spark)
+        known = known.union(w.select(*columns))
     scored = None
-    # chunks meet their answers in parts, one after another, so that the chunks of one part alone are shuffled at a time
+    # chunks ask about their words and meet their answers in parts, one after another, so that the answers of one part alone
+    # are written, and the chunks of one part alone are shuffled, at a time
     for part in range(PARTS):
-        mine = [x.where(F.pmod(F.xxhash64("chunk"), F.lit(PARTS)) == part) for x in (parts, word_values, values)]
-        of_words = mine[1].groupBy(F.col("chunk").alias("_c2")).agg(F.collect_list(F.struct("wb", "n", "p", "open", "all")).alias("word_values"))
-        of_pairs = mine[2].groupBy(F.col("chunk").alias("_c1")).agg(F.collect_list(F.struct("ub", "values")).alias("pair_values"))
+        mine = [x.where(F.pmod(F.xxhash64("chunk"), F.lit(PARTS)) == part) for x in (parts, values)]
+        of_asked = _ask_words(mine[0], buckets).select(F.lit("asked").alias("kind"), F.col("wb").alias("a"), F.col("chunk").alias("b"), F.col("words").alias("p1"), F.lit(None).cast("binary").alias("p2")).withColumns(blank)
+        word_values = settle(known.union(of_asked.select(*columns)).groupBy("a").applyInPandas(
+            _answer_words(parents, discount), "chunk long, wb long, n binary, p binary, open binary, all binary"
+        ), "lm-word-values")
+        del of_asked
+        release(spark)
+        of_words = word_values.groupBy(F.col("chunk").alias("_c2")).agg(F.collect_list(F.struct("wb", "n", "p", "open", "all")).alias("word_values"))
+        of_pairs = mine[1].groupBy(F.col("chunk").alias("_c1")).agg(F.collect_list(F.struct("ub", "values")).alias("pair_values"))
         full = mine[0].join(of_words, F.col("chunk") == F.col("_c2")).join(of_pairs, F.col("chunk") == F.col("_c1"))
         one = settle(full.select("chunk", "docs", "vocab", "tokens", "word_values", "pair_values").mapInArrow(
             _score(hot_ids, buckets, total, types), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
         ), "lm-scores")
         scored = one if scored is None else scored.union(one)
-        del mine, of_words, of_pairs, full
+        forget(word_values)
+        del mine, of_words, of_pairs, full, word_values
         release(spark)
-    for table_ in (parts, word_values, values):
+    for table_ in tolds:
+        table_.forget()
+    for table_ in (parts, counted, restaurants, values):
         forget(table_)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 

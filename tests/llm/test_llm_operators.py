@@ -783,3 +783,29 @@ def test_a_text_meets_its_bits_once_whatever_its_buckets(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.find("explode(tiles") < plan.find("Join")
     assert sorted((r["a"], r["s"]) for r in found.collect()) == sorted((a, s) for a, _, s, _, _ in rows)
+
+
+def test_words_are_answered_a_part_of_the_chunks_at_a_time(spark, tmp_path, monkeypatch):
+    import os
+
+    from priceloom.functions.scale import settle, shared_folder
+
+    monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", 40)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"one two {i % 7} three {i % 5} four") for i in range(200)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    answered, there, chunks = [], [], set()
+
+    def watched(df, label):
+        out = settle(df, label)
+        if label == "lm-chunks":
+            chunks.update(r["chunk"] for r in out.select("chunk").collect())
+        if label == "lm-word-values":
+            answered.append({r["chunk"] for r in out.select("chunk").distinct().collect()})
+            there.extend(x for x in os.listdir(shared_folder(spark).removeprefix("file://")) if x.startswith(("lm-pairs-", "lm-seats-")))
+        return out
+
+    monkeypatch.setattr(pitman_yor, "settle", watched)
+    assert pitman_yor.score_texts(spark.read.parquet(path)).count() == 200
+    assert len(answered) == pitman_yor.PARTS and not answered[0] & answered[1] and answered[0] | answered[1] == chunks
+    # what the answers no longer need has gone: pairs and their seating
+    assert there == []
