@@ -40,6 +40,16 @@ def test_explanations_and_narratives_name_their_drivers(spark, folder):
     assert any("log_quantity" in r["answer"] for r in told if r["intent"] == "driver")
 
 
+def test_explanations_of_more_clients_than_a_broadcast_holds(spark, folder, monkeypatch):
+    """The clients then meet the quotes in a shuffled join, whose salts come from rows with maps inside their structs."""
+    few = quote_checks.quote_explanation(spark, folder).collect()
+    join = quote_checks.join_lookup
+    monkeypatch.setattr(quote_checks, "join_lookup", lambda *a, **k: join(*a, **k, broadcast_rows=0))
+    many = quote_checks.quote_explanation(spark, folder).collect()
+    assert sorted(map(str, many)) == sorted(map(str, few)) and len(many) == 200
+    assert quote_checks.quote_narrative(spark, folder).count() == 200
+
+
 @pytest.mark.parametrize("query", [
     client_checks.client_aggregate, client_checks.relative_price_index, client_checks.price_volatility,
     bounds_checks.clip_target, model_checks.fallback_median_model,
