@@ -6,6 +6,7 @@ import re
 import pytest
 
 from priceloom.catalog import bounds_checks, client_checks, mart, model_checks, quote_checks
+from priceloom.models import trees
 from priceloom.operators import clients
 
 
@@ -60,6 +61,20 @@ def test_rows_read_several_times_are_written_once(spark, folder, query):
     assert not [f for f in out.inputFiles() if "lineitem" in f]
 
 
+def test_the_registered_race_has_its_full_size(spark, monkeypatch):
+    asked = {}
+
+    def race(df, key, numbers, categories, price="unit_price", settings=trees.RaceSettings()):
+        asked.update(settings=settings)
+        return df, {}
+
+    monkeypatch.setattr(model_checks.W, "global_model_race", race)
+    monkeypatch.setattr(model_checks, "training_rows", lambda *a: None)
+    model_checks.global_model_race(spark, "")
+    full = asked["settings"]
+    assert (full.forest_trees, full.depth, full.boost_rounds, full.boost_depth, full.folds) == (200, 15, 300, 5, 5)
+
+
 def test_models_and_quotes_read_one_written_table(spark, folder):
     for frame in quote_checks.quote_rows(spark, folder):
         assert frame.count() == 200 and not [f for f in frame.inputFiles() if "lineitem" in f]
